@@ -9,6 +9,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import quality
+
+    return quality.line_quality(_read(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import audio
+
+    return audio.expand(audio.store(_read(spark, sf_dir, "documents")), keep_pcm=False).drop("pcm", "codec")
+
+
 def op8_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +39,8 @@ def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_rules": op2_line_rules,
+    "op4_telephony": op4_telephony,
     "op8_sst_shards": op8_sst_shards,
     "op9_concat_cut": op9_concat_cut,
 }

@@ -269,10 +269,18 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     ranges = manifest.select("first_id", "last_id", "uri").collect()
     low = -(2**63)
     ranges = sorted((low if f is None else f, low if t is None else t, u) for f, t, u in ranges)
+    tops = [t for _, t, _ in ranges]
+
+    def shards(d: int) -> list[str]:
+        out, i = [], bisect.bisect_left(tops, d)
+        while i < len(ranges) and ranges[i][0] <= d:
+            out.append(ranges[i][2])
+            i += 1
+        return out
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, u) for d in batch.column(0).to_pylist() for f, t, u in ranges if f <= (low if d is None else d) <= t]
+            rows = [(d, u) for d in batch.column(0).to_pylist() for u in shards(low if d is None else d)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.string())], names=["doc_id", "uri"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
