@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import mixing
+
+    return mixing.mix(_read(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm import quality
 
@@ -39,6 +45,7 @@ def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_line_rules": op2_line_rules,
     "op4_telephony": op4_telephony,
     "op8_sst_shards": op8_sst_shards,
