@@ -27,6 +27,12 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.expand(audio.store(_read(spark, sf_dir, "documents")), keep_pcm=False).drop("pcm", "codec")
 
 
+def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import urlfilter
+
+    return urlfilter.judge(_read(spark, sf_dir, "pages"))
+
+
 def op8_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,11 +50,19 @@ def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import htmltext
+
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_rules": op2_line_rules,
     "op4_telephony": op4_telephony,
+    "op7_link_graph": op7_link_graph,
     "op8_sst_shards": op8_sst_shards,
     "op9_concat_cut": op9_concat_cut,
+    "op10_tag_paths": op10_tag_paths,
 }
 ORACLES: dict[str, str] = {}
