@@ -27,6 +27,13 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.expand(audio.store(_read(spark, sf_dir, "documents")), keep_pcm=False).drop("pcm", "codec")
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import langid
+
+    docs = _read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm import urlfilter
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_rules": op2_line_rules,
     "op4_telephony": op4_telephony,
+    "op5_byte_cnn": op5_byte_cnn,
     "op7_link_graph": op7_link_graph,
     "op8_sst_shards": op8_sst_shards,
     "op9_concat_cut": op9_concat_cut,
