@@ -21,6 +21,13 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(_read(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm import audio
 
@@ -66,6 +73,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_rules": op2_line_rules,
+    "op3_noisy_channel": op3_noisy_channel,
     "op4_telephony": op4_telephony,
     "op5_byte_cnn": op5_byte_cnn,
     "op7_link_graph": op7_link_graph,
