@@ -185,6 +185,28 @@ def predict(docs: DataFrame, net: ByteNet | None, folds: int = 3, held: int = 1)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: ByteNet | None, least: float = 0.35) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a known language with a score of `least` or more."""
+    columns, schema = docs.columns, docs.schema
+    text = columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        tables = model.tables() if model else []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                todo = [(i, t.encode()) for i, t in enumerate(part.column(text).to_pylist()) if model and t and any(map(str.isalpha, t))]
+                keep = [False] * part.num_rows
+                for (i, _), total in zip(todo, _documents(model, tables, [r for _, r in todo]), strict=True):
+                    p = np.exp(total - total.max())
+                    keep[i] = bool(p.max() / p.sum() >= least)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def _documents(model: ByteNet, tables: list, raws: list[bytes], most: int = 256) -> Iterator[np.ndarray]:
     """The mean logits of each text; windows of many texts go through the network together, at most `most` at once."""
     cut = [windows_of(r) for r in raws]

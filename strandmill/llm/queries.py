@@ -41,6 +41,12 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op6_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmill.llm import setjoin
+
+    return setjoin.components(_read(spark, sf_dir, "documents"))
+
+
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm import urlfilter
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_noisy_channel": op3_noisy_channel,
     "op4_telephony": op4_telephony,
     "op5_byte_cnn": op5_byte_cnn,
+    "op6_pigeonhole": op6_pigeonhole,
     "op7_link_graph": op7_link_graph,
     "op8_sst_shards": op8_sst_shards,
     "op9_concat_cut": op9_concat_cut,

@@ -275,3 +275,18 @@ def predict(docs: DataFrame, scorer: Scorer, folds: int = 4, held: int = 2, thre
                 yield pa.RecordBatch.from_arrays([keys, pa.array([common.fold(d, folds) == held for d in keys.to_pylist()]), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, that score below the threshold."""
+    text, schema = docs.columns.index("text"), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, memo = shared.value, {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield part.filter(pa.array([use.score(t.as_py(), memo) < threshold for t in part.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
