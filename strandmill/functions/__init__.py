@@ -1 +1 @@
-
+"""Column expressions over sequences, packed k-mers and numbers."""

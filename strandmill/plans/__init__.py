@@ -1 +1 @@
-
+"""Chains of operators, and the command line."""
