@@ -99,14 +99,14 @@ def numbered(lines: DataFrame) -> DataFrame:
 def fasta(lines: DataFrame, paired: bool = False) -> DataFrame:
     """(n, head, seq) from single-line FASTA lines; paired joins two records by N under the first's header."""
     rows = numbered(lines).withColumn("rec", F.expr("n div 2"))
-    recs = rows.groupBy("rec").agg(F.max(F.when(F.col("n") % 2 == 0, F.ltrim(F.lit(">"), F.col("value")))).alias("head"), F.max(F.when(F.col("n") % 2 == 1, F.upper("value"))).alias("seq"))
+    recs = rows.groupBy("rec").agg(F.max(F.when(F.col("n") % 2 == 0, F.regexp_replace("value", "^>", ""))).alias("head"), F.max(F.when(F.col("n") % 2 == 1, F.upper("value"))).alias("seq"))
     return _joined_pairs(recs) if paired else recs.withColumnRenamed("rec", "n")
 
 
 def fastq(lines: DataFrame, paired: bool = False) -> DataFrame:
     """(n, head, seq) from four-line FASTQ records; paired joins two records by N under the first's header."""
     rows = numbered(lines).withColumn("rec", F.expr("n div 4"))
-    recs = rows.groupBy("rec").agg(F.max(F.when(F.col("n") % 4 == 0, F.ltrim(F.lit("@"), F.col("value")))).alias("head"), F.max(F.when(F.col("n") % 4 == 1, F.upper("value"))).alias("seq"))
+    recs = rows.groupBy("rec").agg(F.max(F.when(F.col("n") % 4 == 0, F.regexp_replace("value", "^@", ""))).alias("head"), F.max(F.when(F.col("n") % 4 == 1, F.upper("value"))).alias("seq"))
     return _joined_pairs(recs) if paired else recs.withColumnRenamed("rec", "n")
 
 
