@@ -1,8 +1,9 @@
-"""Connected components on edge tables: smallest label of the neighbours, then pointer jumping, until nothing changes.
+"""Connected components on edge tables by contraction.
 
-Labels only fall, and jumping halves the way to a component's smallest vertex, so the rounds grow with the logarithm of
-the longest path. State is written to the shared checkpoint folder each round: lineage stays short, and a lost executor
-costs the round at most.
+Each round every vertex takes its smallest neighbour, or itself, as its parent; pointer jumping turns parents into the roots
+of the trees this makes; edges are then relabelled by roots, and loops and repeats fall away. Every vertex with a smaller
+neighbour vanishes, so the edges shrink fast and most work is in the first round: a star is done after one. State is
+written to the shared checkpoint folder, so plans stay short and a lost executor costs a step at most.
 """
 
 from __future__ import annotations
@@ -18,14 +19,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Edges are undirected; loops and repeated edges do no harm; edges with a null end are left out.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "cc-labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("a"), "component"), "a").groupBy("b").agg(F.min("component").alias("low"))
-        lower = labels.join(near.withColumnRenamed("b", "id"), "id").select("id", F.least("component", "low").alias("component"), F.col("component").alias("before"))
-        lower = written(lower, "cc-step")
-        root = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = written(lower.join(root, "component").select("id", F.col("root").alias("component"), (F.col("root") != F.col("before")).alias("changed")), "cc-labels")
-        if not labels.where("changed").limit(1).count():
-            return labels.select("id", "component")
+    pairs = edges.where(f"{src} is not null and {dst} is not null").select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct()
+    pairs = written(pairs, "cc-edges")
+    labels = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "cc-labels")
+    pairs = pairs.where("a <> b")
+    while pairs.limit(1).count():
+        roots = written(_roots(pairs), "cc-roots")
+        while True:
+            up = roots.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            jumped = written(roots.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "cc-roots")
+            roots = jumped.select("id", "root")
+            if not jumped.where("moved").limit(1).count():
+                break
+        first, second = roots.withColumnsRenamed({"id": "a", "root": "ra"}), roots.withColumnsRenamed({"id": "b", "root": "rb"})
+        near = pairs.join(first, "a").join(second, "b").where("ra <> rb")
+        pairs = written(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        moved = labels.join(roots.withColumnRenamed("id", "component"), "component", "left")
+        labels = written(moved.select("id", F.coalesce("root", "component").alias("component")), "cc-labels")
+    return labels
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(id, root): each vertex with the smaller of itself and its smallest neighbour; partial minima run before the shuffle."""
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("root"))
