@@ -159,7 +159,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, sketch array<long>")
 
 
-def _pairs(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(sig: np.ndarray, cls: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of equal signatures: pairs of the classes of small runs, star edges of full ones (with their kind), and the rows
     that stand for the runs elsewhere (all of a small run, 17 of a full one)."""
     order = np.lexsort((cls, sig))
@@ -169,19 +169,19 @@ def _pairs(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
     out, place = [], np.arange(len(sig)) - np.repeat(start, size)
-    small = np.repeat(size <= FULL, size)
-    for gap in range(1, min(FULL, int(size.max(initial=1)))):
+    small = np.repeat(size <= full, size)
+    for gap in range(1, min(full, int(size.max(initial=1)))):
         at = np.flatnonzero(small[gap:] & (place[gap:] >= gap))
         out.append(np.stack([cls[at], cls[at + gap], np.zeros(len(at), np.int64)], axis=1))
     at = np.flatnonzero(~small & (place > 0))
     center = cls[np.repeat(start, size)]
     out.append(np.stack([center[at], cls[at], np.ones(len(at), np.int64)], axis=1))
     rows = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 3), np.int64)
-    keep = small | (place <= FULL)
+    keep = small | (place <= full)
     return rows, sig[keep], cls[keep]
 
 
-def candidates(docs: DataFrame, width: int, num: int, den: int, chunk: int = 1_500_000) -> DataFrame:
+def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 1_500_000) -> DataFrame:
     """(a, b, full): pairs of classes that share a signature; full is 1 for star edges of signatures with over 16 classes.
 
     Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk.
@@ -192,7 +192,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, chunk: int = 1_5
         sigs, ids, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows, sig, cls = _pairs(np.concatenate(sigs).view(np.int64), np.concatenate(ids))
+            rows, sig, cls = _pairs(np.concatenate(sigs).view(np.int64), np.concatenate(ids), full)
             rows = rows[rows[:, 2] == 1]
             a = np.concatenate([sig, rows[:, 0]])
             b = np.concatenate([cls, rows[:, 1]])
@@ -228,7 +228,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, chunk: int = 1_5
             sigs.append(sig[~star])
             ids.append(cls[~star])
         if sigs:
-            rows = _pairs(np.concatenate(sigs), np.concatenate(ids))[0]
+            rows = _pairs(np.concatenate(sigs), np.concatenate(ids), full)[0]
             for lo in range(0, len(rows), 100_000):
                 yield _edges(rows[lo : lo + 100_000])
 
