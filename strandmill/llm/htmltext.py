@@ -193,7 +193,8 @@ def main_text(page: str | None, share: float = 0.25) -> str:
         if own and 2 * sum(len(b.text) for b in shares) >= total:
             inside = list(own)
     if not inside:
-        deep = [e for e, m in mass.items() if 10 * m >= 8 * total]
+        around = {e for b in good for e in b.chain[:-1]}  # one long paragraph is no container
+        deep = [e for e, m in mass.items() if e in around and 10 * m >= 8 * total]
         inside = [max(deep)] if deep else []
     chosen = set(inside)
     if not chosen:
