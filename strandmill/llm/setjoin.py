@@ -51,7 +51,7 @@ class Shingler:
         try:
             ids = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
         except KeyError:
-            if len(memo) > 700_000:
+            if len(memo) > 300_000:
                 memo.clear()
             for w in words:
                 if w not in memo:

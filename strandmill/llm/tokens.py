@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Chunks a worker remembers before it starts anew (about 200 bytes each).
-MEMO = 900_000
+MEMO = 500_000
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
