@@ -162,7 +162,7 @@ def test_matrix(spark):
     want = {i: int(np.argmax(np.where(a[i] != 0, a[i], -1))) for i in range(9) if a[i].any()}
     assert as_dict(matrix.row_argmax(x), "i", "j") == want
     assert matrix.totals(x).first().total == a.sum()
-    four = spark.createDataFrame([([4.0, 0, 9, 0, 0, 7, 0, 0, 0, 0, 0, 0, 0, 0, 0, 5],)], "values array<double>")
+    four = spark.createDataFrame([([float(x) for x in (4, 0, 9, 0, 0, 7, 0, 0, 0, 0, 0, 0, 0, 0, 0, 5)],)], "values array<double>")
     m = matrix.from_dense(four, 4)
     assert matrix.to_dense(matrix.transposed(m), 4, 4).first().values == [4, 0, 0, 0, 0, 7, 0, 0, 9, 0, 0, 0, 0, 0, 0, 5]
 
