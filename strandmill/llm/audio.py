@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm import common
+
 #: WAV format tags.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -152,7 +154,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [wav(CODECS[zlib.crc32(p) % 3], p) for _, p in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 512], pa.array([n for n, _ in rows], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_batch(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[tuple[str, int]]]:
@@ -201,4 +203,4 @@ def expand(media: DataFrame, rate: int = 16000, keep_pcm: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, n_samples long, feature string, pcm binary"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").transform(common.arrow_map, run, schema)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of at most about 100 bytes that a broadcast may hold; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch on its way to a Python worker. Both sides of the pipe hold a batch for each running task.
+BATCH_BYTES = 8 << 20
 #: White space of the word contracts: space, tab, LF, VT, FF, CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -38,6 +43,33 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES at most (a longer row is a batch of its own), for long texts.
+
+    The session's spark.sql.execution.arrow.maxBytesPerBatch is lowered to that where it is larger, and stays so. Workers live on
+    after a task, so they give what the task's tables held back to the system at its end.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(name).lower().rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, as far as its allocators allow it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else as it is, for a shuffled join. df should be cheap to count."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

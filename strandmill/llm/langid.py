@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, folds: int, held: int, per_lang: int, per_doc
                         rows.append((lang, part))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "part"])
 
-    rows = sorted((r.lang, bytes(r.part)) for r in pool.where(pick).mapInArrow(cut, "lang string, part binary").collect())
+    rows = sorted((r.lang, bytes(r.part)) for r in pool.where(pick).transform(common.arrow_map, cut, "lang string, part binary").collect())
     windows, sizes = np.zeros((len(rows), WINDOW), np.uint8), np.zeros(len(rows), int)
     for i, (_, part) in enumerate(rows):
         windows[i, : len(part)] = np.frombuffer(part, dtype=np.uint8)
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, net: ByteNet | None, folds: int = 3, held: int = 1)
                 ids = keys[lo : lo + 256].to_pylist()
                 yield pa.RecordBatch.from_arrays([keys[lo : lo + 256], pa.array([common.fold(d, folds) == held for d in ids]), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: ByteNet | None, least: float = 0.35) -> DataFrame:
@@ -208,7 +208,7 @@ def accepted(docs: DataFrame, net: ByteNet | None, least: float = 0.35) -> DataF
                     keep[i] = bool(p.max() / p.sum() >= least)
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.arrow_map, run, schema)
 
 
 def _documents(model: ByteNet, tables: list, raws: list[bytes], most: int = 256) -> Iterator[np.ndarray]:

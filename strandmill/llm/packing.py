@@ -39,7 +39,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     names=["part", "local_start", "doc_id", "doc_tokens", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "part int, local_start long, doc_id long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, encode, "part int, local_start long, doc_id long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm import common
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 CLOSING = tuple(".!?…:;\"'”’»)]}。！？")
@@ -127,4 +129,4 @@ def line_quality(docs: DataFrame, max_lost: float = 0.4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 256], *columns], names=["doc_id", *NUMBERS, "base_failed", "kept", "lines_removed", "chars_removed", "cleaned"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", base_failed boolean, kept boolean, lines_removed long, chars_removed long, cleaned string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, run, schema)

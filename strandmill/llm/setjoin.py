@@ -156,7 +156,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((len(s), class_of(s) if use else None, sketch(s) if use else None))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]], names=["doc_id", "n_shingles", "class", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, sketch array<long>")
+    return docs.transform(common.arrow_map, run, "doc_id long, n_shingles long, class long, sketch array<long>")
 
 
 def _pairs(sig: np.ndarray, cls: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +232,8 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
             for lo in range(0, len(rows), 100_000):
                 yield _edges(rows[lo : lo + 100_000])
 
-    rows = docs.mapInArrow(sign, "sig long, class long, star boolean").repartition(F.col("sig"))
-    return rows.mapInArrow(meet, "a long, b long, full int").groupBy("a", "b").agg(F.min("full").alias("full"), F.max("full").alias("group"))
+    rows = docs.transform(common.arrow_map, sign, "sig long, class long, star boolean").repartition(F.col("sig"))
+    return rows.transform(common.arrow_map, meet, "a long, b long, full int").groupBy("a", "b").agg(F.min("full").alias("full"), F.max("full").alias("group"))
 
 
 def _edges(rows: np.ndarray) -> pa.RecordBatch:
@@ -269,7 +269,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
                         out.append((a, cls))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "side").mapInArrow(run, "a long, b long")
+    return rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "side").transform(common.arrow_map, run, "a long, b long")
 
 
 def forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
@@ -350,7 +350,7 @@ def group_links(docs: DataFrame, stars: DataFrame, reps: DataFrame, width: int,
                     held.setdefault(block, []).append((cls, s))
         yield from done()
 
-    return rows.repartition(F.col("grp"), F.col("p"), F.col("q")).sortWithinPartitions("grp", "p", "q").mapInArrow(run, "a long, b long")
+    return rows.repartition(F.col("grp"), F.col("p"), F.col("q")).sortWithinPartitions("grp", "p", "q").transform(common.arrow_map, run, "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> Da
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return common.staged(rows.mapInArrow(write, "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long"), "sst-manifest")
+    return common.staged(rows.transform(common.arrow_map, write, "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long"), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     base = common.bases(manifest, "shard", "n_tokens", "base")
     rows = manifest.join(common.small(base), "shard").select("uri", "base")
-    return rows.repartition(F.col("uri")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(F.col("uri")).transform(common.arrow_map, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -293,5 +293,5 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
                 found += [(d, x.tolist()) for x in shard.lookup(d)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
-    wanted = ids.select(F.col("doc_id").cast("long")).distinct().mapInArrow(route, "doc_id long, uri string")
-    return wanted.repartition(F.col("uri")).sortWithinPartitions("uri").mapInArrow(find, "doc_id long, tokens array<long>")
+    wanted = ids.select(F.col("doc_id").cast("long")).distinct().transform(common.arrow_map, route, "doc_id long, uri string")
+    return wanted.repartition(F.col("uri")).sortWithinPartitions("uri").transform(common.arrow_map, find, "doc_id long, tokens array<long>")

@@ -116,7 +116,7 @@ def char_counts(docs: DataFrame) -> CharModel:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["code", "n"])
 
     counts = np.zeros(CLASSES**3, dtype=np.int64)
-    for code, n in docs.select(F.col("text").cast("string")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n")).collect():
+    for code, n in docs.select(F.col("text").cast("string")).transform(common.arrow_map, run, "code int, n long").groupBy("code").agg(F.sum("n")).collect():
         counts[code] = n
     return CharModel(counts)
 
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_l
             part = names[lo : lo + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([s[f] for f in part], pa.int64()) for s in sums]], names=["feature", "c0", "t0", "c1", "t1"])
 
-    sums = sample.select("doc_id", "text", "toxic").mapInArrow(count, "feature string, c0 long, t0 long, c1 long, t1 long")
+    sums = sample.select("doc_id", "text", "toxic").transform(common.arrow_map, count, "feature string, c0 long, t0 long, c1 long, t1 long")
     total = sums.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]).where("t0 + t1 >= 3 and t0 + t1 > 1.2 * (c0 + c1)")
     rows = total.orderBy(F.expr("(t0 + t1) / (t0 + t1 + c0 + c1 + 3.0)").desc(), F.expr("t0 + t1").desc(), "feature").limit(most_entries).collect()
     scorers = [Scorer(model, _lexicon([(r.feature, r[t], r[c]) for r in rows if r[t]]), np.zeros(5)) for t, c in (("t1", "c1"), ("t0", "c0"))]
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_l
             got = [(scorers[half(d)].vector(text, memos[half(d)]), toxic) for d, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.list_(pa.float64())), pa.array([t for _, t in got], pa.int32())], names=["x", "y"])
 
-    seen = sorted((r.y, list(r.x)) for r in sample.select("doc_id", "text", "toxic").mapInArrow(vectors, "x array<double>, y int").collect())
+    seen = sorted((r.y, list(r.x)) for r in sample.select("doc_id", "text", "toxic").transform(common.arrow_map, vectors, "x array<double>, y int").collect())
     if not seen:
         return Scorer(model, {}, np.array([-3.0, 0, 0, 0, 0]))
     w = logistic(np.array([x for _, x in seen]), np.array([y for y, _ in seen], dtype=float))
@@ -274,7 +274,7 @@ def predict(docs: DataFrame, scorer: Scorer, folds: int = 4, held: int = 2, thre
                 scores = [use.score(t.as_py(), memo) for t in batch.column(1)[lo : lo + 512]]
                 yield pa.RecordBatch.from_arrays([keys, pa.array([common.fold(d, folds) == held for d in keys.to_pylist()]), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
@@ -289,4 +289,4 @@ def accepted(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFra
                 part = batch.slice(lo, 512)
                 yield part.filter(pa.array([use.score(t.as_py(), memo) < threshold for t in part.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.arrow_map, run, schema)
