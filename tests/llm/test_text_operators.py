@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -158,3 +159,28 @@ def test_url_rules_and_propagation(spark):
 def test_word_count_matches(spark):
     n = docs(spark).select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).alias("n"), "text").collect()
     assert all(r.n == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in n)
+
+
+def test_arrow_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        spark.conf.set(name, str(64 << 20))
+        texts = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 3_000_000).alias("text"))
+        got = texts.transform(common.arrow_map, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 12
+        assert len(got) > 2
+        assert max(r.bytes for r in got) <= common.BATCH_BYTES + 2 * 3_000_000
+        long = spark.range(0, 1, 1, 1).select(F.repeat(F.lit("x"), 12_000_000).alias("text"))
+        assert [r.n for r in long.transform(common.arrow_map, sizes, "n long, bytes long").collect()] == [1]
+        assert texts.where("false").transform(common.arrow_map, sizes, "n long, bytes long").count() == 0
+        spark.conf.set(name, "1000000")
+        texts.transform(common.arrow_map, sizes, "n long, bytes long")
+        assert spark.conf.get(name).rstrip("b") == "1000000"
+    finally:
+        spark.conf.set(name, before)
