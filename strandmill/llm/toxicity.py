@@ -32,7 +32,8 @@ MASK, GAPS = "aeiou", ".-_*~'`^,:/\\"
 LOOK_COST, DROP_COST, FOLD_COST, MASK_COST, LITERAL_COST, SPLIT_COST = 1.2, 0.8, 0.7, 3.0, 7.0, 1.0
 CLASSES = 28
 DISGUISED = re.compile(r"[^\W\d_]\W?[0134578@$!|+€£¡]+\W?[^\W\d_]|^[$@]+[^\W\d_]{2}|^[0134578]+[^\W\d_]+[0134578!$]|[^\W\d_][*.\-_~^][^\W\d_][*.\-_~^][^\W\d_]|[^\W\d_]\*+[^\W\d_]|([^\W\d_])\1\1", re.I)
-APART = re.compile(r"(?<![^\s])(?:[\w@$!|+][ \t]{1,3}){3,}[\w@$!|+](?![^\s])")
+#: Runs of three or more single letters or look-alikes with blanks between them, in quotes or brackets or before punctuation as well.
+APART = re.compile(r"(?<![^\s\"'\[{<«“‘(])(?:[\w@$!|+*€£¡(×][ \t]{1,3}){2,}[\w@$!|+*€£¡(×](?=[.,;:!?\"')\]}>»”’…]*(?:\s|\Z))")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$«»“”‘’…|-–—_/\\​‌‍"
 INVISIBLE = {0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
 PREFIXES = (4, 5, 6)
@@ -122,8 +123,8 @@ def char_counts(docs: DataFrame) -> CharModel:
 
 
 def features(word: str, model: CharModel) -> list[str]:
-    """Restored words of one chunk, each with its beginnings (marked by a tilde)."""
-    low = (model.restore(word) if DISGUISED.search(word) else word.lower()).split()
+    """Restored words of one chunk, each with its beginnings (marked by a tilde). A chunk with blanks is a run of letters set apart."""
+    low = (model.restore(word) if DISGUISED.search(word) or len(word.split()) > 1 else word.lower()).split()
     out = []
     for w in low:
         w = w.strip(EDGES)
@@ -137,8 +138,8 @@ def chunks_of(text: str | None) -> tuple[set[str], int]:
     """Distinct chunks of a text, with runs of letters set apart taken as one, and the number of chunks."""
     words = (text or "").split()
     found = set(words)
-    if len(words) >= 4 and sum(len(w) == 1 for w in words) >= 4:
-        found.update(m[0] for m in APART.finditer(text))
+    if sum(len(w) == 1 for w in words) >= 2:  # the ends of a run may hold quotes or full stops
+        found.update(m[0] for m in APART.finditer(text) if any(c.isalpha() for c in m[0]))
     return found, len(words)
 
 

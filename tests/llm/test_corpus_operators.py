@@ -172,6 +172,30 @@ def test_deobfuscation_and_scores(spark):
     assert toxicity.predict(odd, none).agg(F.max("predicted")).first()[0] == 0
 
 
+@pytest.fixture(scope="module")
+def scored(spark):
+    """A scorer that knows four toxic words, one of them of three letters."""
+    rng = random.Random(1)
+    plain = ["the", "river", "house", "walked", "around", "morning", "paper", "window", "quiet", "letter", "a", "i"]
+    bad = ["idiot", "stupid", "ignorant", "ass"]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(40)]
+        if i % 5 == 0:
+            words[3], words[17] = rng.choice(bad), rng.choice(bad)
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.fit(docs, docs.select("doc_id", "toxic"))
+
+
+@pytest.mark.parametrize("word", ["i d i o t", "s t u p i d", "S  T  U  P  I  D", '"i d i o t".', "i d i o t, s t u p i d!", "a s s"])
+def test_letters_set_apart_are_scored(spark, scored, word):
+    rows = [(1, f"the river house {word} walked around"), (2, "the river house w a l k e d around 1 2 3 4 5 a i"), (3, "a i the 4 5 5 river")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.predict(docs, scored).collect()} == {1: 1, 2: 0, 3: 0}
+    assert scored.score(rows[0][1], {}) >= 0.3 > scored.score(rows[1][1], {})
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
