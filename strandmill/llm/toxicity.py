@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all texts. Words that look disguised (look-alike digits and signs between
-letters, letters set apart, letters repeated) become lattices of readings; Viterbi decoding under the model restores the
+A character trigram model is counted over all texts. Words that look disguised (look-alike digits and signs at any
+place beside a letter, letters set apart, letters repeated, characters that do not show) become lattices of readings; Viterbi decoding under the model restores the
 likeliest text, and the restored words are scored. All other words have one reading and pass as they are.
 
 The scorer is a lexicon of words and word beginnings, weighted by the lower confidence bound of how toxic the labelled
@@ -31,11 +31,15 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 MASK, GAPS = "aeiou", ".-_*~'`^,:/\\"
 LOOK_COST, DROP_COST, FOLD_COST, MASK_COST, LITERAL_COST, SPLIT_COST = 1.2, 0.8, 0.7, 3.0, 7.0, 1.0
 CLASSES = 28
-DISGUISED = re.compile(r"[^\W\d_]\W?[0134578@$!|+€£¡]+\W?[^\W\d_]|^[$@]+[^\W\d_]{2}|^[0134578]+[^\W\d_]+[0134578!$]|[^\W\d_][*.\-_~^][^\W\d_][*.\-_~^][^\W\d_]|[^\W\d_]\*+[^\W\d_]|([^\W\d_])\1\1", re.I)
+REPEATED = re.compile(r"([^\W\d_])\1\1")
 #: Runs of three or more single letters or look-alikes with blanks between them, in quotes or brackets or before punctuation as well.
 APART = re.compile(r"(?<![^\s\"'\[{<«“‘(])(?:[\w@$!|+*€£¡(×][ \t]{1,3}){2,}[\w@$!|+*€£¡(×](?=[.,;:!?\"')\]}>»”’…]*(?:\s|\Z))")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$«»“”‘’…|-–—_/\\​‌‍"
-INVISIBLE = {0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
+#: Signs that stand for a letter or between letters, in place of which other readings are tried.
+SIGNS = frozenset(LOOKS) | frozenset(GAPS)
+#: Punctuation around a word that cannot be part of it.
+AROUND = "".join(c for c in EDGES if c not in LOOKS and c != "*")
+HIDDEN = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 PREFIXES = (4, 5, 6)
 
 
@@ -59,7 +63,7 @@ class CharModel:
 
     def restore(self, chunk: str) -> str:
         """The likeliest reading of a disguised chunk; spaces in it may stay word bounds or join letters."""
-        chunk = chunk.translate(INVISIBLE).lower().strip()
+        chunk = HIDDEN.sub("", chunk).lower().strip()
         lattice, i = [], 0
         while i < len(chunk):
             c, j = chunk[i], i
@@ -80,10 +84,10 @@ class CharModel:
                     ways.append(("", LITERAL_COST / 2))
                 lattice.append(ways or [("", DROP_COST)] if not c.isdigit() else [*ways, (c * n, LITERAL_COST)])
             i = j
-        states = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for ways in lattice:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, past) in states.items():
                 for out, extra in ways:
                     x, y, total = a, b, cost + extra
                     for c in out:
@@ -91,9 +95,14 @@ class CharModel:
                         total += self.cost[x][y][k]
                         x, y = (0, 0) if k == 0 else (y, k)
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + out)
+                        after[x, y] = (total, (past, out))
             states = after
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
+        past = min(((cost + self.cost[a][b][0], past) for (a, b), (cost, past) in states.items()), key=lambda s: s[0])[1]
+        parts = []
+        while past is not None:
+            past, out = past
+            parts.append(out)
+        return "".join(reversed(parts))
 
 
 def char_counts(docs: DataFrame) -> CharModel:
@@ -122,21 +131,41 @@ def char_counts(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
+def disguised(chunk: str) -> bool:
+    """Whether a chunk has readings other than its letters: it holds a letter, and a sign, a repeated run or blanks. Numbers have none."""
+    if chunk.isalpha() and not REPEATED.search(chunk):
+        return False
+    return any(c.isalpha() for c in chunk) and (not SIGNS.isdisjoint(chunk) or len(chunk.split()) > 1 or REPEATED.search(chunk) is not None)
+
+
+def readings(chunk: str, model: CharModel) -> list[str]:
+    """Words a chunk may stand for. Where look-alikes at its edges may be punctuation as well, both readings count."""
+    chunk = HIDDEN.sub("", chunk).lower()
+    full, bare = chunk.strip(AROUND), chunk.strip(EDGES)
+    out = []
+    for part in (full, bare) if full != bare else (full,):
+        for w in (model.restore(part) if disguised(part) else part).split():
+            w = w.strip(EDGES)
+            if w and w not in out:
+                out.append(w)
+    return out
+
+
 def features(word: str, model: CharModel) -> list[str]:
     """Restored words of one chunk, each with its beginnings (marked by a tilde). A chunk with blanks is a run of letters set apart."""
-    low = (model.restore(word) if DISGUISED.search(word) or len(word.split()) > 1 else word.lower()).split()
     out = []
-    for w in low:
-        w = w.strip(EDGES)
-        if w:
-            out.append(w)
-            out += [w[:k] + "~" for k in PREFIXES if len(w) > k]
+    for w in readings(word, model):
+        out.append(w)
+        out += [w[:k] + "~" for k in PREFIXES if len(w) > k]
     return out
 
 
 def chunks_of(text: str | None) -> tuple[set[str], int]:
     """Distinct chunks of a text, with runs of letters set apart taken as one, and the number of chunks."""
-    words = (text or "").split()
+    text = text or ""
+    if not text.isascii():
+        text = HIDDEN.sub("", text)
+    words = text.split()
     found = set(words)
     if sum(len(w) == 1 for w in words) >= 2:  # the ends of a run may hold quotes or full stops
         found.update(m[0] for m in APART.finditer(text) if any(c.isalpha() for c in m[0]))
@@ -152,8 +181,7 @@ class Scorer:
     def weight(self, chunk: str) -> tuple[float, str]:
         """The strongest entry of a chunk and its first letters, by which hits count as different."""
         best, name = 0.0, ""
-        chunk_features = features(chunk, self.model) if len(chunk) > 3 or not chunk.isalpha() else ()
-        for f in chunk_features:
+        for f in features(chunk, self.model):
             w = self.lexicon.get(f, 0.0)
             if w > best:
                 best, name = w, f[:4]

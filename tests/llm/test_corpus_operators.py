@@ -1,6 +1,7 @@
 """Mixing, toxicity, language, set joins and the pipeline, on small tables."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -196,6 +197,25 @@ def test_letters_set_apart_are_scored(spark, scored, word):
     assert scored.score(rows[0][1], {}) >= 0.3 > scored.score(rows[1][1], {})
 
 
+WAYS = ["1diot", "!diot", "idi0t", "id|ot", "idio7", "i9norant", "i6norant", '"$tupid', "[$tupid]", "5tupid,", "a55", "@ss", "ass", "ass,", "(a$s)", "i\u200bd\u00adiot", "i\u200b \u200bd i o t", "s\u200ctupid!", "*diot", "i-d-i-o-t"]
+
+
+@pytest.mark.parametrize("word", WAYS)
+def test_disguises_are_scored(scored, word):
+    assert scored.score(f"the river house {word} walked around", {}) >= 0.3
+
+
+@pytest.mark.parametrize("text", ["(the) river! 455 houses, 1984 paper", "$100 the window's letter; 3.5 a-river @home 2nd", "walked/around (i) letter$ morning!!! hooouse"])
+def test_plain_signs_and_numbers_are_no_hits(scored, text):
+    assert scored.score(text, {}) < 0.3
+
+
+def test_long_chunk_is_restored_in_time(scored):
+    begin = time.monotonic()
+    assert len(scored.model.restore("a1b0c3d.$e" * 10_000)) > 50_000
+    assert time.monotonic() - begin < 30
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
