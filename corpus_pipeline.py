@@ -25,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return setjoin.one_of_each(docs)
+    """Keep one document of each group of near duplicates: five-word shingles of similarity 0.8 or more."""
+    return setjoin.one_of_each(docs, 5, 80, 100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

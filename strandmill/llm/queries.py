@@ -44,7 +44,7 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmill.llm import setjoin
 
-    return setjoin.components(_read(spark, sf_dir, "documents"))
+    return setjoin.components(_read(spark, sf_dir, "documents"), 4, 85, 100)
 
 
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,22 @@ def test_one_of_each(spark):
     assert setjoin.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pipeline_joins_pairs_just_above_its_threshold(spark):
+    """Scattered edits and one added passage: joined from five-word similarity 0.8 on, kept apart below."""
+    words = [f"w{i}" for i in range(304)]  # 300 shingles
+    scattered = [f"x{i}" if i in (40, 90, 140, 190, 240, 290) else w for i, w in enumerate(words)]  # 270 common of 330
+    rows = [(1, words), (2, scattered), (3, [*words, *(f"y{i}" for i in range(74))]), (4, [*words, *(f"z{i}" for i in range(76))])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_set_join_at_the_pipelines_threshold_equals_brute_force(spark):
+    rows = near_copies(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.components(docs, 5, 80, 100).collect()}
+    assert got == plain_components(rows, 5, 80, 100)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = langid.fit(docs)
