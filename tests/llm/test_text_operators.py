@@ -136,6 +136,16 @@ def test_main_text(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+STORY = "".join(f"<p>Story part {i}, told at length, with commas, stops. And then, it goes on, as it must, to its end.</p>" for i in range(6))
+
+
+def test_main_text_outside_the_largest_container():
+    part = lambda name: f"<p>The {name} of it, told at length, with commas, stops. And then, it goes on, as it must.</p>"
+    page = f"<html><body><div class=intro><h2>First</h2>{part('intro')}</div><div class=story>{STORY * 2}</div><div class=end><h2>Last</h2>{part('end')}</div></body></html>"
+    lines = htmltext.main_text(page).split("\n")
+    assert [lines[0], lines[1][:9], lines[-2], lines[-1][:7]] == ["First", "The intro", "Last", "The end"] and len(lines) == 16
+
+
 def test_url_rules_and_propagation(spark):
     link = lambda *hosts: "".join(f'<a class=x href="http://{h}/p">x</a>' for h in hosts)
     rows = [
