@@ -3,8 +3,8 @@
 A page is read into blocks: runs of text between block-level tags, each with its root-to-leaf path of tags and classes.
 For each path, the mean length of plain (unlinked) text and the mean number of punctuation marks of its blocks are taken;
 both are smoothed over neighbouring paths in page order, fused into one weight, and paths over a share of the page's spread
-are content. Where article or main elements hold most of it, they give the page's text. Elsewhere every block on a content
-path is text, and so are the short ones (headings, list items) in the container of most content and in content's own sections.
+are content. Every block on a content path is text (only those in article or main elements, where these hold most of it), and
+so are short ones that are not mostly links (headings, list items) in the container of most content or in content's sections.
 Elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
 comments weigh nothing and are never text.
 """
@@ -201,9 +201,10 @@ def main_text(page: str | None, share: float = 0.25) -> str:
     chosen, kept = set(inside), {id(b) for b in content}
     if not chosen.intersection(own):  # sections of their own bring their headings and lists
         chosen.update(b.chain[-2] for b in content if len(b.chain) > 1 and b.path[-2].split(".")[0] not in ("html", "body"))
-        picked = [b for b in good if id(b) in kept or chosen.intersection(b.chain) and 2 * b.linked <= len(b.text)]
+        allowed = good
     else:
-        picked = [b for b in good if chosen.intersection(b.chain)]
+        allowed = [b for b in good if chosen.intersection(b.chain)]
+    picked = [b for b in allowed if id(b) in kept or chosen.intersection(b.chain) and 2 * b.linked <= len(b.text)]
     return "\n".join(b.text for b in picked)
 
 

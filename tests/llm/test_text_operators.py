@@ -146,6 +146,12 @@ def test_main_text_outside_the_largest_container():
     assert [lines[0], lines[1][:9], lines[-2], lines[-1][:7]] == ["First", "The intro", "Last", "The end"] and len(lines) == 16
 
 
+def test_path_threshold_holds_inside_an_article():
+    links = "<div class=tools><a href=/a>Send it</a> <a href=/b>Print it</a></div><ul class=more><li><a href=/c>Another piece</a></li><li><a href=/d>One more</a></li></ul>"
+    lines = htmltext.main_text(f"<html><body><article><h1>Head</h1>{STORY}{links}<ul><li>one</li></ul></article></body></html>").split("\n")
+    assert lines[0] == "Head" and lines[-1] == "one" and len(lines) == 8
+
+
 def test_url_rules_and_propagation(spark):
     link = lambda *hosts: "".join(f'<a class=x href="http://{h}/p">x</a>' for h in hosts)
     rows = [
