@@ -26,9 +26,25 @@ def _one_strand(x: np.ndarray, y: np.ndarray, least: int, rate: float) -> int:
     return best
 
 
+def _exact(x: bytes, y: bytes, least: int) -> int:
+    """_one_strand without mismatches: only places where the head of one read is found in the other are compared."""
+    best = 0
+    for whole, other in ((x, y), (y, x)):
+        head = other[:least]
+        at = whole.find(head) if len(head) == least else -1
+        while at >= 0 and (n := min(len(whole) - at, len(other))) > best:
+            if whole[at : at + n] == other[:n]:
+                best = n
+            at = whole.find(head, at + 1)
+    return best
+
+
 def sequence_overlap(a: str, b: str, min_overlap: int = 31, err_rate: float = 0.0) -> int:
     if min_overlap < 2 or not 0 <= err_rate < 0.5:
         raise ValueError("min_overlap must be over 1 and err_rate in [0, 0.5)")
+    if err_rate == 0:
+        x, y = a.encode(), b.encode()
+        return max(_exact(x, y, min_overlap), _exact(x, y.translate(_COMPLEMENT)[::-1], min_overlap))
     x = np.frombuffer(a.encode(), dtype=np.uint8)
     y, z = (np.frombuffer(s, dtype=np.uint8) for s in (b.encode(), b.encode().translate(_COMPLEMENT)[::-1]))
     return max(_one_strand(x, y, min_overlap, err_rate), _one_strand(x, z, min_overlap, err_rate))

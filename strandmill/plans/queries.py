@@ -216,7 +216,7 @@ def edges_node_sets(spark, sf_dir):
 
 @query()
 def overlap_edges(spark, sf_dir):
-    rows = chain.read_edges(reads(spark, sf_dir), K, contamination=0.0, max_kmer_count=20, min_shared=400)
+    rows = chain.read_edges(reads(spark, sf_dir), K, contamination=0.0, max_kmer_count=200, min_shared=2)
     return overlap.overlap_edges(rows, reads(spark, sf_dir), 31)
 
 

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.operators import kmers
+from strandmill.operators import kmers, overlap
+from strandmill.plans import queries
 from strandmill.sources import readers, writers
 
 SEQS = [(1, "ATCGATC"), (2, "ATCG"), (3, "ATCGACGTNACNACTGGTAC"), (4, ""), (5, "NNN")]
@@ -96,3 +98,24 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert [r.value for r in readers.interleaved(fq, fq).collect()][:2] == [">x\nACG", ">x\nACG"]
     ids = readers.with_ids(readers.fastq(fq)).collect()
     assert [r.id for r in ids] == [0, 1]
+
+
+def test_exact_overlap_equals_every_shift():
+    rng = random.Random(4)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ACGTN" if rng.random() < 0.1 else "AC") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        if rng.random() < 0.5 and len(a) > 4:
+            b = a[rng.randint(0, 4) :] + b
+        least = rng.randint(2, 5)
+        x, y, z = (np.frombuffer(s, dtype=np.uint8) for s in (a.encode(), b.encode(), b.encode().translate(overlap._COMPLEMENT)[::-1]))
+        assert overlap.sequence_overlap(a, b, least) == max(overlap._one_strand(x, y, least, 0.0), overlap._one_strand(x, z, least, 0.0))
+
+
+def test_overlap_query_finds_short_overlaps_and_common_kmers(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(n))
+    shared, copy = word(60), word(50)
+    texts = [(1, word(100) + shared), (2, shared + word(100)), *((i, copy) for i in range(3, 33))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.src, r.dst): r.w for r in queries.overlap_edges(spark, str(tmp_path)).collect()}
+    assert got[1, 2] == 60 and len(got) == 1 + 30 * 29 // 2 and got[3, 32] == 50
