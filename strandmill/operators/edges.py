@@ -32,6 +32,24 @@ def shared(index: DataFrame, max_degree: int = 100, min_shared: int = 2, seed: i
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_shared)
 
 
+def every_shared(features: DataFrame, min_shared: int = 2, block: int = 1000) -> DataFrame:
+    """(src, dst, w), src < dst: how many features (kmer, id) two ids share, of at least min_shared, without a cap.
+
+    A feature of more than `block` ids is dealt into hashed blocks of about that many, and each pair of blocks is a row of its own.
+    """
+    rows = features.where("kmer is not null and id is not null").distinct()
+    sizes = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(sizes.select("kmer", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "kmer")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = rows.groupBy("kmer", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("id")))).alias("reads"), F.array_sort(F.collect_list(F.when(F.col("own") > F.col("other"), F.col("id")))).alias("others")
+    )
+    across = held.where("p < q").select(F.explode("reads").alias("a"), "others").select("a", F.explode("others").alias("b"))
+    pairs = all_pairs(held.where("p = q")).unionByName(across.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_shared)
+
+
 def residue(edges: DataFrame, n: int, i: int) -> DataFrame:
     """The share of edges of pass i of n."""
     return edges.where(F.pmod(F.col("src") + F.col("dst"), F.lit(n)) == i)

@@ -162,7 +162,7 @@ ORDERS = f"f AS (SELECT DISTINCT l_partkey AS kmer, l_orderkey AS id FROM lineit
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("kmer"), F.col("l_orderkey").alias("id")).distinct()
-    return edges.shared(kmers.inverted_index(rows, 2, 1000), 1000, 2)
+    return edges.every_shared(rows, 2)
 
 
 @query(f"WITH {ORDERS} SELECT * FROM e")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandmill.operators import clustering, edges, evaluation, kmers, matrix, overlap
 from strandmill.operators.components import connected_components
+from strandmill.plans import queries
 
 
 def graph(spark, rows):
@@ -190,3 +191,20 @@ def test_members(spark):
     assert [(r.cluster_id, r.members) for r in clustering.members(labels, 2).collect()] == [(1, [1, 3])]
     assert clustering.sized(labels, 2).count() == 2
     assert kmers.in_range(labels.withColumnRenamed("label", "kmer"), 2).count() == 2
+
+
+def test_order_edges_have_no_cap(spark, tmp_path):
+    """A part in 1100 orders, and pairs that share it with a rarer part."""
+    rows = [(o, 1) for o in range(1100)] + [(o, 2 + o // 2) for o in range(1100)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.src, r.dst, r.w) for r in queries.edges_orders(spark, str(tmp_path)).collect()}
+    assert got == {(o, o + 1, 2) for o in range(0, 1100, 2)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_count_each_pair_once(spark, block):
+    rng = random.Random(block)
+    rows = {(rng.randrange(6), rng.randrange(25)) for _ in range(90)} | {(9, None)}
+    got = {(r.src, r.dst): r.w for r in edges.every_shared(spark.createDataFrame(sorted(rows, key=str), "kmer long, id long"), 2, block).collect()}
+    want = Counter((a, b) for k, a in rows for j, b in rows if k == j and a is not None and b is not None and a < b)
+    assert got == {p: n for p, n in want.items() if n >= 2}
