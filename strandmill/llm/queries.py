@@ -29,9 +29,10 @@ def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandmill.llm import audio
+    from strandmill.llm import audio, common
 
-    return audio.expand(audio.store(_read(spark, sf_dir, "documents")), keep_pcm=False).drop("pcm", "codec")
+    stored = common.staged(audio.store(_read(spark, sf_dir, "documents")), "audio")
+    return audio.expand(stored, keep_pcm=False).drop("pcm", "codec")
 
 
 def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,14 @@ def test_audio(spark):
         audio.chunks(b"RIFFxxxxWAVE")
 
 
+def test_telephony_reads_what_it_stored(spark, tmp_path):
+    from strandmill.llm import queries
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    files = queries.op4_telephony(spark, str(tmp_path)).inputFiles()
+    assert files and all("/audio-" in f for f in files)
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
 <div id=wrap><div class="sidebar">Side text here, long enough, to tempt.</div><div class="content"><h1>Head &amp; line</h1><p>First para, with  text.</p><p>Second para. Has <a href=x>a link</a> and<br>a break.
 <ul><li>one<li>two</ul><script>var a = "<p>no</p>";</script><!-- <p>no</p> --><div class="comments"><p>Nice post, really, thanks!</p></div><form><p>Name, please.</p></form></div></div>
