@@ -172,8 +172,9 @@ def test_url_rules_and_propagation(spark):
     assert pick[3] == ("x.com", "/", "com/", "allow") and pick[4][2:] == ("net/es/", "block")
     assert pick[6] == ("", "", None, "allow") and pick[7] == ("", "", None, "allow") and pick[9] == ("com", "", None, "allow")
     # y.net is blocked by rule (distrust 1) and linked once each from z.net and q.org: 0.85 / 2 reaches each.
-    assert abs(got[5].distrust - 0.425) < 1e-9 and pick[5][3] == "allow" and abs(got[8].distrust - 0.425) < 1e-9
+    assert abs(got[5].distrust - 0.425) < 1e-9 and pick[5][3] == "block" and abs(got[8].distrust - 0.425) < 1e-9
     assert abs(got[3].trust - (1 + 0)) < 1e-9
+    assert pick[8][3] == "block"  # distrust over a third
     lone = urlfilter.judge(spark.createDataFrame([(4, "http://y.net/es/2", ""), (5, "http://z.net/de/2", link("y.net"))], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.verdict for r in lone} == {4: "block", 5: "block"}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
