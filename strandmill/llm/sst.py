@@ -235,7 +235,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> Da
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files.
+
+    Every shard is read by a task of its own, or by one that few share; the number is given, so that small manifests are not merged.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +257,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     base = common.bases(manifest, "shard", "n_tokens", "base")
     rows = manifest.join(common.small(base), "shard").select("uri", "base")
-    return rows.repartition(F.col("uri")).transform(common.arrow_map, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, manifest.count()), F.col("uri")).transform(common.arrow_map, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -264,7 +267,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, tokens) of the wanted ids (a column doc_id), each by binary search in the shards that may hold it.
 
-    The manifest's key ranges (one row for each shard) go with the task; an id that a range covers is sent to its shard.
+    The manifest's key ranges (one row for each shard, so as many as there are files) go to the driver and with the tasks; an id
+    that a range covers is sent to its shard. Null, repeated and unknown ids are looked up once; unknown ones give no row.
     """
     ranges = manifest.select("first_id", "last_id", "uri").collect()
     low = -(2**63)
