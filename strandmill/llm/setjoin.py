@@ -14,10 +14,15 @@ m - h at least m - 2h + 1 differ in exactly one shingle; segments with at most o
 with h empty segments indexes subsets and their one-deletions for its first 2h + c segments, the cheapest that suffice, and
 where 2h + c > m also its prefix: the |X| - ceil(J |X|) + 1 shingles of least hash, one of which a linked set must share.
 
-Candidates. A signature held by up to 16 sets gives all their pairs. Parity sketches (2048 bits; the bits that differ are
-no more than the shingles that differ) drop pairs that cannot link, and the rest is verified on the texts' sets.
-Sets that share fuller signatures form groups. Groups are cut in blocks of 256 sets, and blocks meet pairwise: a task counts
-the intersections of two blocks as a matrix product and returns a spanning forest of the links. Nothing is capped.
+Cost. A signature's cost is the length of its list. Up to 16 sets give all their pairs. Longer lists are dear, and sets that hold
+such signatures are allocated to a second index, by measured frequency: of the shingles of all such sets, each set indexes
+the |X| - ceil(J |X|) + 1 rarest of its own, one of which a linked set must have among its rarest as well. Texts that
+merely share a common passage or licence line have rare shingles of their own, and part here. What still meets in lists
+of over 16 sets are mostly near copies of one another: all are compared with one of them, the centre. Those of a list that are not
+joined to its largest component then are compared with the whole list, in blocks, by their sketches.
+
+Verification. Parity sketches (2048 bits; the bits that differ are no more than the shingles that differ) drop pairs that
+cannot link, and the rest is verified on the texts' sets. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm import common
 from strandmill.llm.common import mix64
 from strandmill.operators.components import connected_components
 
-BITS, FULL, BLOCK = 2048, 16, 256
+BITS, FULL, BLOCK = 2048, 16, 2048
+#: Signatures that one task of a join on signatures holds, about.
+HELD = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,10 +144,6 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def linked(n: np.ndarray, m: np.ndarray, common_: np.ndarray, num: int, den: int) -> np.ndarray:
-    return den * common_ >= num * (n + m - common_)
-
-
 def classes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, class (null for an empty set or a null id) and parity sketch of each row."""
 
@@ -181,10 +184,11 @@ def _pairs(sig: np.ndarray, cls: np.ndarray, full: int) -> tuple[np.ndarray, np.
     return rows, sig[keep], cls[keep]
 
 
-def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 1_500_000) -> DataFrame:
+def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 1_500_000, shingles: int = 0) -> DataFrame:
     """(a, b, full): pairs of classes that share a signature; full is 1 for star edges of signatures with over 16 classes.
 
-    Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk.
+    Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk. `shingles`, the
+    number of all sets' shingles, sets the number of tasks that signatures are dealt to, so that each holds about HELD of them.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,9 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
             for lo in range(0, len(rows), 100_000):
                 yield _edges(rows[lo : lo + 100_000])
 
-    rows = docs.transform(common.arrow_map, sign, "sig long, class long, star boolean").repartition(F.col("sig"))
+    rows = docs.transform(common.arrow_map, sign, "sig long, class long, star boolean")
+    expected = 4 * shingles * den * (den - num) // (num * (den + num))
+    rows = rows.repartition(expected // HELD, "sig") if expected // HELD > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(F.col("sig"))
     return rows.transform(common.arrow_map, meet, "a long, b long, full int").groupBy("a", "b").agg(F.min("full").alias("full"), F.max("full").alias("group"))
 
 
@@ -272,85 +278,114 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "side").transform(common.arrow_map, run, "a long, b long")
 
 
-def forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links over 0..n-1."""
-    root, out = list(range(n)), []
+def rare_prefixes(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(token, class): of each set (class, doc_id), its rarest shingles among all these sets, as many as a linked set must share one of.
+
+    Order is by the number of sets that hold a shingle, then by its hash. Shingles of one set alone come first, and meet nobody.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                got = [(c, s) for c, t in zip(batch.column(0)[lo : lo + 500].to_pylist(), batch.column(1)[lo : lo + 500], strict=True) if class_of(s := shingler(t.as_py())) == c]
+                size = [len(s) for _, s in got]
+                token = np.concatenate([s for _, s in got]).view(np.int64) if got else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([c for c, _ in got], size).astype(np.int64)), pa.array(np.repeat(size, size).astype(np.int64)), pa.array(token)], names=["class", "n", "token"])
+
+    held = common.staged(texts_of(docs, sets.select("doc_id", "class")).select("class", "text").transform(common.arrow_map, run, "class long, n long, token long"), "set-shingles", "snappy")
+    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    own = Window.partitionBy("class")
+    rows = held.join(often, "token").withColumn("rank", F.dense_rank().over(own.orderBy("cnt", "token")))
+    rows = rows.withColumn("alone", F.col("n") - F.max("rank").over(own))
+    out = common.staged(rows.where(f"rank <= n - ceil(n * {num} / {den}) + 1 - alone").select("token", "class").distinct(), "set-prefixes")
+    common.discard(held)
+    return out
+
+
+def run_pairs(prefixes: DataFrame, full: int = FULL) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets that meet in a list of up to `full`, with stars (centre, member) of longer ones; and the longer ones' tokens."""
+    runs = common.staged(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("centre")).where("n > 1"), "set-runs")
+    few = prefixes.join(runs.where(F.col("n") <= full).select("token"), "token").groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("c"))
+    later = F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, full), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    pairs = few.select(F.inline(F.flatten(later)))
+    long = runs.where(F.col("n") > full)
+    stars = prefixes.join(common.small(long), "token").where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b"))
+    return pairs.unionByName(stars).distinct(), long
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for x, y in links.tolist():
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
+def far_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ between each of the sketches x and each of y."""
+    out = np.empty((len(x), len(y)), dtype=np.int32)
+    for i, row in enumerate(x):
+        out[i] = np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int32)
     return out
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """(i, j) of linked sets of two blocks; intersections are sums of products of 0/1 columns, 4096 shingles at a time."""
-    sizes_l, sizes_r = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    count = np.zeros((len(left), len(right)), dtype=np.float32)
-
-    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, value = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-        at = np.searchsorted(shared, value)
-        ok = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == value) if len(shared) else np.zeros(len(value), bool)
-        order = np.argsort(at[ok], kind="stable")
-        return row[ok][order], at[ok][order]
-
-    (rl, cl), (rr, cr) = entries(left), entries(right)
-    for lo in range(0, len(shared), 4096):
-        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
-        p, q = np.searchsorted(cl, [lo, lo + 4096])
-        x[rl[p:q], cl[p:q] - lo] = 1
-        p, q = np.searchsorted(cr, [lo, lo + 4096])
-        y[rr[p:q], cr[p:q] - lo] = 1
-        count += x @ y.T
-    return np.argwhere(linked(sizes_l[:, None], sizes_r[None, :], count.astype(np.int64), num, den))
-
-
-def group_links(docs: DataFrame, stars: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the linked sets of each group of classes joined by star edges."""
-    groups = connected_components(stars, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")))
-    rows = rows.join(reps.select("class", "doc_id"), "class").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("doc_id", "class", "grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block")
-    rows = texts_of(docs, common.staged(rows, "group-blocks")).select("grp", "p", "q", "block", "class", "text")
+def rest_pairs(prefixes: DataFrame, long: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) still open in long lists: of a set outside its list's largest component with any other of another component.
+
+    Either side of a list is dealt into blocks of about `block` sets; sketches of two blocks meet in one task, which returns the
+    pairs that sizes and sketches allow.
+    """
+    rows = prefixes.join(common.small(long.select("token", "n")), "token").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = common.staged(rows, "set-lists")
+    parts = common.staged(rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")), "set-list-parts")
+    open_ = parts.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most"))
+    open_ = open_.where("most < n").select("token", "main", F.ceil((F.col("n") - F.col("most")) / block).alias("ps"), F.ceil(F.col("n") / block).alias("qs"))
+    rows = rows.select("token", "class", "component").join(common.small(common.staged(open_, "set-open-lists")), "token")
+    rows = rows.join(reps.select("class", F.col("n").alias("size"), "sketch"), "class")
+    number = lambda salt, n: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = rows.where("component <> main").withColumn("p", number(1, "ps")).withColumn("q", F.explode(count("qs")))
+    right = rows.withColumn("q", number(2, "qs")).withColumn("p", F.explode(count("ps")))
+    kept = ["token", "p", "q", "side", "class", "component", "size", "sketch"]
+    cells = left.withColumn("side", F.lit(0)).select(*kept).unionByName(right.withColumn("side", F.lit(1)).select(*kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, name, held = Shingler(width), None, {}
+        name, held = None, ([], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if name is None or len(held.get(name[1], ())) == 0:
-                return
-            left = held[name[1]]
-            right = held.get(name[2], []) if name[1] != name[2] else left
-            if not right:
+            if not (held[0] and held[1]):
                 return
-            both = left if name[1] == name[2] else left + right
-            links = block_links([s for _, s in left], [s for _, s in right], num, den)
-            if name[1] != name[2]:
-                links = links + np.array([0, len(left)])
-            found = forest(len(both), links[links[:, 0] < links[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([both[i][0] for i, _ in found], pa.int64()), pa.array([both[j][0] for _, j in found], pa.int64())], names=["a", "b"])
+            (c, g, n, s), (d, h, m, t) = ([np.array(x) for x in zip(*side, strict=True)] for side in held)
+            for lo in range(0, len(c), 256):
+                k = slice(lo, lo + 256)
+                total = n[k, None] + m[None, :]
+                ok = (g[k, None] != h[None, :]) & (num * np.maximum(n[k, None], m[None, :]) <= den * np.minimum(n[k, None], m[None, :]))
+                ok &= (den + num) * far_apart(s[k], t).astype(np.int64) <= (den - num) * total
+                i, j = np.nonzero(ok)
+                a, b = c[k][i], d[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for grp, p, q, block, cls, t in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
-                if (grp, p, q) != name:
+            keys = zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)
+            sketches = np.array(batch.column(7).flatten().to_numpy(zero_copy_only=False)).reshape(-1, BITS // 64)
+            for (token, p, q, side, cls, component, size), row in zip(keys, sketches, strict=True):
+                if (token, p, q) != name:
                     yield from done()
-                    name, held = (grp, p, q), {}
-                s = shingler(t.as_py())
-                if class_of(s) == cls:
-                    held.setdefault(block, []).append((cls, s))
+                    name, held = (token, p, q), ([], [])
+                held[side].append((cls, component, size, row))
         yield from done()
 
-    return rows.repartition(F.col("grp"), F.col("p"), F.col("q")).sortWithinPartitions("grp", "p", "q").transform(common.arrow_map, run, "a long, b long")
+    met = cells.repartition(F.col("token"), F.col("p"), F.col("q")).sortWithinPartitions("token", "p", "q")
+    return met.transform(common.arrow_map, run, "a long, b long").distinct()
+
+
+def close_pairs(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b) with a document of either set, without those that sizes or sketches rule out."""
+    side = lambda x: reps.select(F.col("class").alias(x), F.col("doc_id").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)")
+    rows = rows.where(f"{den + num} * aggregate(zip_with(a_sketch, b_sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {den - num} * (a_n + b_n)")
+    return rows.select("a", "a_doc", "b", "b_doc")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of sets."""
+    close = common.staged(close_pairs(pairs, reps, num, den), "set-pairs")
+    links = common.staged(verify(docs, close, width, num, den), "set-links")
+    common.discard(close)
+    return links
 
 
 def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -364,15 +399,22 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = common.staged(classes(docs, width), "set-classes", "snappy")
     reps = common.staged(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "set-reps", "snappy")
-    found = common.staged(candidates(docs, width, num, den), "set-candidates")
-    side = lambda x: reps.select(F.col("class").alias(x), F.col("doc_id").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    pairs = found.where("full = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.where(f"{num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)").where(f"{den + num} * aggregate(zip_with(a_sketch, b_sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {den - num} * (a_n + b_n)")
-    links = verify(docs, common.staged(pairs.select("a", "a_doc", "b", "b_doc"), "set-pairs"), width, num, den)
-    stars = found.where("group = 1").select("a", "b")
-    if stars.limit(1).count():
-        links = links.unionByName(group_links(docs, stars, reps, width, num, den))
-    joined = connected_components(common.staged(links, "set-links"), "a", "b").select(F.col("id").alias("class"), "component")
+    shingles = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = common.staged(candidates(docs, width, num, den, shingles=shingles), "set-candidates")
+    stars, pairs, spent = found.where("group = 1"), found.where("full = 0").select("a", "b"), [found]
+    dear = stars.limit(1).count()
+    if dear:
+        sets = common.staged(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select("class", "doc_id"), "set-dear")
+        prefixes = rare_prefixes(docs, sets, width, num, den)
+        more, long = run_pairs(prefixes)
+        pairs = pairs.unionByName(more).distinct()
+        spent += [sets, prefixes]
+    links = verified(docs, pairs, reps, width, num, den)
+    if dear and long.limit(1).count():
+        labels = connected_components(links, "a", "b").select(F.col("id").alias("class"), "component")
+        links = common.staged(links.unionByName(verified(docs, rest_pairs(prefixes, long, labels, reps, num, den), reps, width, num, den)), "set-links")
+    joined = connected_components(links, "a", "b").select(F.col("id").alias("class"), "component")
+    common.discard(*spent)
     grouped = reps.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = grouped.select("class", "component").join(least, "component").select("class", "component_id")
@@ -385,10 +427,12 @@ def one_of_each(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100)
 
     Repeated rows (equal id and text) stay once. Rows of one id and different texts stay if the id does. Rows with null ids stay.
     """
-    found = components(docs, width, num, den).where("doc_id is not null")
-    keep = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("_first")).where("_first")
-    keep = common.staged(keep.select(F.col("doc_id").alias("_id"), "_rows"), "set-keep")
-    rows = docs.join(common.small(keep), F.col("doc_id").cast("long") == F.col("_id"))
-    once = rows.where("_rows = 1").select(*docs.columns)
-    again = rows.where("_rows > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    found = common.staged(components(docs, width, num, den).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("first")), "set-ids")
+    key = F.col("doc_id").cast("long") == F.col("_id")
+    gone = found.where("not first").select(F.col("doc_id").alias("_id"))
+    rows = docs.join(common.small(gone), key, "left_anti")
+    twice = found.where("first and rows > 1").select(F.col("doc_id").alias("_id"))
+    if not twice.limit(1).count():
+        return rows
+    once = rows.join(common.small(twice), key, "left_anti")
+    return once.unionByName(rows.join(common.small(twice), key, "left_semi").dropDuplicates(["doc_id", "text"]))
