@@ -90,18 +90,20 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         return pcm
     g = math.gcd(rate, to)
     up, down = to // g, rate // g
-    filters, n = _filters(up, down), -(-len(pcm) * up // down)
+    filters, n = _filters(up, down).astype(np.float32), -(-len(pcm) * up // down)
     taps = filters.shape[1]
     padded = np.concatenate([np.zeros(taps // 2 - 1, np.float32), pcm.astype(np.float32), np.zeros(taps // 2 + 1, np.float32)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(n, dtype=np.float32)
-    for first in range(min(up, n)):
-        phase = first * down % up
-        if phase == 0 and up >= down:
-            full = pcm
-        else:
-            full = np.convolve(padded, filters[phase][::-1].astype(np.float32), "valid")
-        where = np.arange(first, n, up) * down // up
-        out[first::up] = full[where]
+    for lo in range(0, n, 65536):
+        at = np.arange(lo, min(n, lo + 65536)) * down
+        part = out[lo : lo + 65536]
+        for first in range(min(up, len(part))) if up <= 16 else ():  # few phases: one product each
+            where = at[first::up]
+            phase = int(where[0] % up)
+            part[first::up] = padded[where // up + taps // 2 - 1] if phase == 0 and up >= down else around[where // up] @ filters[phase]
+        if up > 16:
+            part[:] = np.einsum("ij,ij->i", around[at // up], filters[at % up])
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
@@ -181,7 +183,8 @@ def decode_batch(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray], lis
 def expand(media: DataFrame, rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
     """What the stored bytes give: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, n_samples, feature, pcm.
 
-    pcm holds 16-bit little-endian samples at `rate`; with keep_pcm=False it is dropped once the feature is made.
+    media is what `store` made (doc_id, n_bytes, media). Null ids and repeated rows stay, other columns are not read, an empty table
+    gives no rows; a null or broken container is an error. pcm holds 16-bit little-endian samples at `rate`; with keep_pcm=False it is dropped once the feature is made.
     The feature names the codec, sample count, root mean square, zero crossings and crc32 of the resampled PCM.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "n_samples", "feature", "pcm"]

@@ -165,7 +165,9 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with each row as often as the mix takes it: taken / size, rounded up or down by a hash of its id.
 
     The mean over documents is taken / size, so sources come near their targets in whole documents; 0 to 2 copies.
-    Rows with equal ids and sizes share the mean of their parts of the mix. A document without words stays once.
+    Rows with equal ids and sizes share the mean of their parts of the mix. A document without words stays once. Null ids, texts
+    and sources are values like others; other columns stay as they are (names with a leading underscore are for the operator);
+    an empty table gives no rows.
     """
     rows = mix(docs, seed=seed).documents.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
     ratio = rows.agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_ratio"))
@@ -173,4 +175,4 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**40)) / F.lit(float(2**40))
     times = F.when(F.col("_words") == 0, F.lit(1)).otherwise(F.floor(F.col("_ratio") + u).cast("int"))
-    return docs.withColumn("_words", words).join(ratio, key).withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= times).select(*docs.columns)
+    return docs.withColumn("_words", words).join(ratio, key).withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)

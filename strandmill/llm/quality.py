@@ -31,9 +31,27 @@ SPACES = " \t\n\v\f\r"
 CLOSING = tuple(".!?…:;\"'”’»)]}。！？")
 SEPARATORS = re.compile("[|»•·›]")
 MARKS = re.compile(r"[^\w\s]{2,}")
-#: Fixed phrases of menus and of stock text, lower case.
-MENU = re.compile(r"\b(home|sign in|log in|login|next page|previous page|read more|share this|skip to content|back to top|site map)\b")
-STOCK = re.compile(r"all rights reserved|cookie policy|uses cookies|privacy policy|terms of (use|service)|enable javascript|javascript is disabled|lorem ipsum|subscribe to our newsletter|^\W*licensed under|work is licensed under|copyright ©|©")
+#: Fixed phrases of menus and of stock text in English, German, French and Spanish, lower case.
+MENU_PHRASES = {
+    "en": "home, sign in, log in, login, next page, previous page, read more, share this, skip to content, back to top, site map",
+    "de": "startseite, anmelden, einloggen, nächste seite, vorherige seite, weiterlesen, mehr lesen, zum inhalt springen, nach oben, seitenübersicht",
+    "fr": "accueil, se connecter, connexion, page suivante, page précédente, lire la suite, partager, aller au contenu, haut de page, plan du site",
+    "es": "inicio, iniciar sesión, acceder, página siguiente, página anterior, leer más, compartir, ir al contenido, volver arriba, mapa del sitio",
+}
+STOCK_PHRASES = {
+    "en": "all rights reserved, cookie policy, uses cookies, privacy policy, terms of use, terms of service, enable javascript, javascript is disabled, lorem ipsum, subscribe to our newsletter, work is licensed under, copyright ©, ©",
+    "de": "alle rechte vorbehalten, cookie-richtlinie, verwendet cookies, datenschutzerklärung, nutzungsbedingungen, javascript aktivieren, javascript ist deaktiviert, newsletter abonnieren",
+    "fr": "tous droits réservés, politique de cookies, utilise des cookies, politique de confidentialité, conditions d'utilisation, activer javascript, activez javascript, abonnez-vous à notre newsletter",
+    "es": "todos los derechos reservados, política de cookies, utiliza cookies, política de privacidad, condiciones de uso, active javascript, activar javascript, suscríbase a nuestro boletín",
+}
+
+
+def any_of(phrases: dict[str, str]) -> str:
+    return "|".join(re.escape(p) for line in phrases.values() for p in line.split(", "))
+
+
+MENU = re.compile(rf"\b({any_of(MENU_PHRASES)})\b")
+STOCK = re.compile(rf"{any_of(STOCK_PHRASES)}|^\W*licensed under")
 
 
 def line_fails(line: str) -> str | None:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm import common
@@ -105,6 +105,21 @@ class CharModel:
         return "".join(reversed(parts))
 
 
+def cuts(raw: bytes, table: np.ndarray, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Parts of raw of about `size` bytes that end where a word ends."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        while end < len(raw):
+            ends = np.flatnonzero(table[np.frombuffer(raw, dtype=np.uint8, count=min(size, len(raw) - end), offset=end)] == 0)
+            if len(ends):
+                end += int(ends[0])
+                break
+            end += size
+        yield at, min(end, len(raw))
+        at = end
+
+
 def char_counts(docs: DataFrame) -> CharModel:
     """The character model from every text of docs. Each task sums its own texts; at most 28^3 sums reach the driver."""
     table = np.zeros(256, dtype=np.int64)
@@ -117,8 +132,8 @@ def char_counts(docs: DataFrame) -> CharModel:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 raw = "\n".join(t for t in batch.column(0)[lo : lo + 256].to_pylist() if t).encode()
-                for at in range(0, len(raw), 4_000_000):
-                    x = table[np.frombuffer(b" " + raw[at : at + 4_000_000] + b" ", dtype=np.uint8)]
+                for at, end in cuts(raw, table):
+                    x = table[np.frombuffer(b" " + raw[at:end] + b" ", dtype=np.uint8)]
                     x = x[(x != 0) | np.concatenate([[True], x[:-1] != 0])]
                     x = np.repeat(x, np.where(x == 0, 2, 1))
                     total += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=CLASSES**3)
@@ -229,9 +244,19 @@ def _lexicon(rows: list[tuple[str, int, int]], least: float = 0.6, z2: float = 2
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_label: int = 6000, most_entries: int = 60_000) -> Scorer:
+def bound(toxic: Column, clean: Column, z2: float = 2.7) -> Column:
+    """The lower confidence bound of toxic / (toxic + clean), 0 for no rows."""
+    n = toxic + clean
+    p = toxic / n
+    return F.when(n > 0, (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)).otherwise(0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_label: int = 6000, least: float = 0.6) -> Scorer:
     """The scorer from labels (doc_id, toxic) outside the held-out fold, at most about per_label hashed rows of either label.
 
+    That sample bounds the lexicon as well: of its words and word beginnings, those stay whose confidence bound in the sample or in
+    one half of it is `least` or more, for which five toxic rows at least must hold them. Rows of one id and different texts count with the
+    text of least hash, so reruns agree.
     Rows with null ids or labels teach nothing; a document labelled twice counts once, as toxic if either says so.
     Without labels of both kinds every score is the share of toxic labels (0 if there are none).
     """
@@ -246,7 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_l
     rate = {k: min(1.0, per_label / n[k]) for k in n}
     spot = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(2**31))
     chosen = known.where(((F.col("toxic") == 1) & (spot < int(rate[1] * 2**31))) | ((F.col("toxic") == 0) & (spot < int(rate[0] * 2**31))))
-    sample = common.staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(chosen, 4 * per_label), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    sample = common.staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(chosen, 4 * per_label), "doc_id"), "toxic-rows")
+    least_hash = F.struct(F.xxhash64("text"), F.col("text"))
+    sample = common.staged(sample.groupBy("doc_id", "toxic").agg(F.min_by("text", least_hash).alias("text")), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[Counter] = [Counter() for _ in range(4)]
@@ -267,7 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_l
 
     sums = sample.select("doc_id", "text", "toxic").transform(common.arrow_map, count, "feature string, c0 long, t0 long, c1 long, t1 long")
     total = sums.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]).where("t0 + t1 >= 3 and t0 + t1 > 1.2 * (c0 + c1)")
-    rows = total.orderBy(F.expr("(t0 + t1) / (t0 + t1 + c0 + c1 + 3.0)").desc(), F.expr("t0 + t1").desc(), "feature").limit(most_entries).collect()
+    t0, t1, c0, c1 = map(F.col, ("t0", "t1", "c0", "c1"))
+    rows = total.where(F.greatest(bound(t0, c0), bound(t1, c1), bound(t0 + t1, c0 + c1)) >= least - 1e-9).orderBy("feature").collect()
     scorers = [Scorer(model, _lexicon([(r.feature, r[t], r[c]) for r in rows if r[t]]), np.zeros(5)) for t, c in (("t1", "c1"), ("t0", "c0"))]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +335,10 @@ def predict(docs: DataFrame, scorer: Scorer, folds: int = 4, held: int = 2, thre
 
 
 def accepted(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns as they are, that score below the threshold."""
+    """The rows of docs, all columns as they are and whatever their names, that score below the threshold.
+
+    Null and empty texts score as texts without hits; null ids and repeated rows stay; an empty table gives no rows.
+    """
     text, schema = docs.columns.index("text"), docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
