@@ -184,7 +184,7 @@ def _pairs(sig: np.ndarray, cls: np.ndarray, full: int) -> tuple[np.ndarray, np.
     return rows, sig[keep], cls[keep]
 
 
-def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 1_500_000, shingles: int = 0) -> DataFrame:
+def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 750_000, shingles: int = 0) -> DataFrame:
     """(a, b, full): pairs of classes that share a signature; full is 1 for star edges of signatures with over 16 classes.
 
     Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk. `shingles`, the
@@ -198,6 +198,8 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
         def flush() -> Iterator[pa.RecordBatch]:
             rows, sig, cls = _pairs(np.concatenate(sigs).view(np.int64), np.concatenate(ids), full)
             rows = rows[rows[:, 2] == 1]
+            order = np.argsort(cls, kind="stable")  # a set's rows together: its hash is then written about once to each shuffle file
+            sig, cls = sig[order], cls[order]
             a = np.concatenate([sig, rows[:, 0]])
             b = np.concatenate([cls, rows[:, 1]])
             star = np.concatenate([np.zeros(len(sig), bool), np.ones(len(rows), bool)])
@@ -253,8 +255,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The linked ones of pairs (a, a_doc, b, b_doc). A set goes to each of its centres; a centre goes to each of its salts."""
-    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(heavy, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 128)))
+    heavy = common.staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).alias("salts")).where("salts > 1"), "set-centres")
+    pairs = pairs.join(common.small(heavy), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))))
     members = pairs.select("a", "salt", F.col("b").alias("class"), F.col("b_doc").alias("doc_id"), F.lit(1).alias("side"))
     centres = pairs.select("a", "salt", F.col("a").alias("class"), F.col("a_doc").alias("doc_id"), F.lit(0).alias("side")).distinct()
     rows = texts_of(docs, common.staged(members.unionByName(centres), "pairs-sides")).select("a", "salt", "class", "side", "text")
