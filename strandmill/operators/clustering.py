@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import edges as E
 from strandmill.operators import matrix
 from strandmill.operators.components import connected_components
-from strandmill.operators.state import written
+from strandmill.operators.state import discard, replaced, written
 
 
 def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -76,6 +76,25 @@ def superstep(state: DataFrame, directed: DataFrame, message: Column, merge: Col
     return sent.groupBy("id").agg(merge.alias(name))
 
 
+def message_passing(state: DataFrame, directed: DataFrame, message: Column, merge: Column, update: Column, name: str, rounds: int) -> DataFrame:
+    """Supersteps until no vertex gets a message that changes it, or for `rounds`: (id, name) with name := update.
+
+    `message` may use the columns of state and edges, `update` the column `name` and the merged message `got`; a vertex without a
+    message stays as it is.
+    """
+    for _ in range(rounds):
+        got = superstep(state, directed, message, merge, "got")
+        fresh = state.join(got, "id", "left").select("id", F.when(F.col("got").isNull(), F.col(name)).otherwise(update).alias("_new"), name)
+        after = written(fresh.select("id", F.col("_new").alias(name), (~F.col("_new").eqNullSafe(F.col(name))).alias("_moved")), "messages")
+        moved = after.where("_moved").limit(1).count()
+        discard(state)
+        state, at = after.select("id", name), after.written_at
+        state.written_at = at
+        if not moved:
+            break
+    return state
+
+
 def _vote(votes: DataFrame) -> DataFrame:
     """(id, label): for each dst the label with the largest sum of w (to 1e-6), the smallest of equals."""
     sums = votes.groupBy("dst", "label").agg(F.round(F.sum("w"), 6).alias("total"))
@@ -88,7 +107,7 @@ def lpa_sync(edges: DataFrame, rounds: int = 10) -> DataFrame:
     labels = directed.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         votes = directed.join(labels.withColumnRenamed("id", "src"), "src").select("dst", "label", F.lit(1.0).alias("w"))
-        labels = written(_vote(votes), "lpa")
+        labels = replaced(_vote(votes), "lpa", labels)
     return labels
 
 
@@ -107,6 +126,7 @@ def lpa(edges: DataFrame, rounds: int = 10, weight: str = "none", final: bool =
     for _ in range(rounds):
         after = written(turn(labels), "lpa")
         changed = after.join(labels.withColumnRenamed("label", "_old"), "id").where("label <> _old").limit(1).count()
+        discard(labels)
         labels = after
         if not changed:
             break
@@ -119,7 +139,8 @@ def with_preference(edges: DataFrame, scaling: float, per_source: bool = False)
     if per_source:
         loops = both.groupBy("src").agg((F.percentile("w", 0.5) * scaling).alias("w")).select("src", F.col("src").alias("dst"), "w")
     else:
-        median = both.agg((F.percentile("w", 0.5) * scaling).alias("w"))
+        spread = both.groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # one row for each weight reaches the task that takes the median
+        median = spread.agg((F.percentile("w", 0.5, F.col("n")) * scaling).alias("w"))
         loops = both.select("src").distinct().join(F.broadcast(median)).select("src", F.col("src").alias("dst"), "w")
     return both.unionByName(loops)
 
@@ -133,10 +154,12 @@ def markov(edges: DataFrame, rounds: int = 10, inflation: float = 2.0, scaling:
     m = written(matrix.normalized(matrix.summed(m)), "mcl")
     labels, calm = None, 0
     for _ in range(rounds):
-        m = written(matrix.normalized(matrix.pruned(matrix.powered(matrix.product(m, m), inflation), prune)), "mcl")
+        m = replaced(matrix.normalized(matrix.pruned(matrix.powered(matrix.product(m, m), inflation), prune)), "mcl", m)
         if convergence_rounds:
             after = written(matrix.row_argmax(m), "mcl-labels")
             same = labels is not None and not after.join(labels.withColumnRenamed("j", "_old"), "i").where("j <> _old").limit(1).count()
+            if labels is not None:
+                discard(labels)
             labels, calm = after, calm + 1 if same else 0
             if calm >= convergence_rounds:
                 break
@@ -184,9 +207,11 @@ def affinity(edges: DataFrame, rounds: int = 10, damping: float = 0.5, scaling:
     state = written(affinity_start(edges, scaling, weight), "ap")
     labels, calm = None, 0
     for _ in range(rounds):
-        state = written(affinity_round(state, damping), "ap")
+        state = replaced(affinity_round(state, damping), "ap", state)
         after = written(exemplars(state), "ap-labels")
         same = labels is not None and not after.join(labels.withColumnRenamed("label", "_old"), "id").where("label <> _old").limit(1).count()
+        if labels is not None:
+            discard(labels)
         labels, calm = after, calm + 1 if same else 0
         if calm >= convergence_rounds:
             break

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators.state import written
+from strandmill.operators.state import discard, replaced, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,20 +22,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     pairs = edges.where(f"{src} is not null and {dst} is not null").select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct()
     pairs = written(pairs, "cc-edges")
     labels = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "cc-labels")
-    pairs = pairs.where("a <> b")
-    while pairs.limit(1).count():
+    all_pairs = pairs
+    while pairs.where("a <> b").limit(1).count():
+        pairs = pairs.where("a <> b")
         roots = written(_roots(pairs), "cc-roots")
         while True:
             up = roots.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            jumped = written(roots.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "cc-roots")
-            roots = jumped.select("id", "root")
+            jumped = replaced(roots.select("id", "root").join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "cc-roots", roots)
+            roots = jumped
             if not jumped.where("moved").limit(1).count():
                 break
+        roots_at, roots = roots, roots.select("id", "root")
         first, second = roots.withColumnsRenamed({"id": "a", "root": "ra"}), roots.withColumnsRenamed({"id": "b", "root": "rb"})
         near = pairs.join(first, "a").join(second, "b").where("ra <> rb")
-        pairs = written(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        all_pairs = pairs = replaced(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges", all_pairs)
         moved = labels.join(roots.withColumnRenamed("id", "component"), "component", "left")
-        labels = written(moved.select("id", F.coalesce("root", "component").alias("component")), "cc-labels")
+        labels = replaced(moved.select("id", F.coalesce("root", "component").alias("component")), "cc-labels", labels, roots_at)
+    discard(all_pairs)
     return labels
 
 

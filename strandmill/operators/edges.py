@@ -25,10 +25,12 @@ def ring_pairs(index: DataFrame, max_degree: int, seed: int = 0) -> DataFrame:
     return rows.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
-def shared(index: DataFrame, max_degree: int = 100, min_shared: int = 2, seed: int = 0) -> DataFrame:
-    """(src, dst, w), src < dst: how many lists a pair is drawn from, of at least min_shared."""
+def shared(index: DataFrame, max_degree: int = 100, min_shared: int = 2, seed: int = 0, passes: int = 1, turn: int = 0) -> DataFrame:
+    """(src, dst, w), src < dst: how many lists a pair is drawn from, of at least min_shared; of several passes, the pairs of one turn."""
     short, long = index.where(F.size("reads") <= max_degree), index.where(F.size("reads") > max_degree)
     pairs = all_pairs(short).unionByName(ring_pairs(long, max_degree, seed))
+    if passes > 1:
+        pairs = residue(pairs, passes, turn)
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_shared)
 
 

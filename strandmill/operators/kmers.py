@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
+from strandmill.sources.readers import positions
 
 #: Number of a base in string order (A, C, G, T), 4 for anything else.
 _ALPHA = np.full(256, 4, dtype=np.int64)
@@ -98,7 +99,7 @@ def ranked(counted: DataFrame) -> DataFrame:
 def top_fraction(counted: DataFrame, fraction: float, exact: bool = False) -> DataFrame:
     """The most frequent k-mers: the first floor(n * fraction) + 1 by falling count, then k-mer (exact: without the one more).
 
-    The cut count comes from a histogram of counts; only k-mers tied at the cut are sorted. A fraction of 0 gives none.
+    The cut count comes from a histogram of counts; only k-mers tied at the cut are sorted and numbered, over all tasks. A fraction of 0 gives none.
     """
     if fraction <= 0:
         return counted.limit(0)
@@ -109,8 +110,8 @@ def top_fraction(counted: DataFrame, fraction: float, exact: bool = False) -> Da
     cut = steps.where((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want)).select("cnt", (want - F.col("upto") + F.col("n")).alias("rest")).first()
     if cut is None:
         return counted if not exact else counted.limit(0)
-    tied = counted.where(F.col("cnt") == cut.cnt).orderBy("kmer").limit(cut.rest)
-    return counted.where(F.col("cnt") > cut.cnt).unionByName(tied)
+    tied = positions(counted.where(F.col("cnt") == cut.cnt).orderBy("kmer"), "_n").where(F.col("_n") < cut.rest).drop("_n")
+    return counted.where(F.col("cnt") > cut.cnt).unionByName(tied.select(*counted.columns))
 
 
 def without(features: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def column_sums(m: DataFrame) -> DataFrame:
 
 def normalized(m: DataFrame) -> DataFrame:
     """Columns divided by their sums; columns that sum to zero are dropped."""
-    return divided_by_row(m, column_sums(m)).select("i", "j", "v")
+    rows = m.withColumn("_sum", F.sum("v").over(Window.partitionBy("j")))
+    return rows.where("_sum <> 0").select("i", "j", (F.col("v") / F.col("_sum")).alias("v"))
 
 
 def pruned(m: DataFrame, t: float) -> DataFrame:

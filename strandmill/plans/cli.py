@@ -5,11 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators import clustering, edges, kmers, overlap
+from strandmill.operators.state import written
 from strandmill.sources import readers, writers
 
 FORMS = ("seq", "parquet", "base64")
@@ -70,7 +73,7 @@ def parser() -> argparse.ArgumentParser:
     _io(p, "--reads")
     _kmer(p)
     p.add_argument("--kmer", default="")
-    p.add_argument("--use_native", action="store_true", help="k-mers by the Arrow kernel instead of expressions")
+    p.add_argument("--use_native", action="store_true", help="no effect: k-mers of up to 31 bases always come from the Arrow kernel")
     p.add_argument("-c", "--contamination", type=_number(float, 0, 1), default=5e-5, help="share of the most frequent k-mers to remove")
     p.add_argument("--min_kmer_count", type=_number(int, 2), default=2)
     p.add_argument("--max_kmer_count", type=_number(int, 2), default=200)
@@ -78,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     _io(p)
     p.add_argument("--max_degree", type=_number(int, 1), default=100)
     p.add_argument("--min_shared_kmers", type=_number(int, 1), default=2)
-    p.add_argument("--use_native", action="store_true")
+    p.add_argument("--use_native", action="store_true", help="no effect: pairs are always made by expressions")
     p.add_argument("--n_iteration", type=_number(int, 1), default=1)
     p = add("overlap")
     _io(p)
@@ -103,7 +106,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--matrix_block_size", type=_number(int, 0), default=0, help="no effect: entries are rows")
     p.add_argument("--inflation", type=_number(float, above=0), default=2.0)
     p.add_argument("--scaling", type=_number(float, 0), default=1.0)
-    p.add_argument("--convergence_iter", type=_number(int, 1), default=3)
+    p.add_argument("--convergence_iter", type=_number(int, 1), default=0, help="end when labels have stayed for so many rounds; without it all rounds run")
     p = add("ap")
     _graph(p)
     _weight(p)
@@ -128,6 +131,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def passes(n: int, one: Callable[[int], DataFrame]) -> DataFrame:
+    """The union of n passes; with more than one, each is run and written before the next, so that only one is in work at a time."""
+    if n == 1:
+        return one(0)
+    parts = [written(one(i), "pass") for i in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     """Runs one tool; returns the clusters written, where it makes clusters, else 0."""
     a, wrote = args, 0
@@ -136,7 +147,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         coded = a.k <= 31
         features = kmers.explode(rows, a.k, "canonical" if a.canonical else "both", "arrow" if coded else "expr")
         if a.tool == "kmer-count":
-            writers.kmer_counts(kmers.counts(features), a.output, a.k, coded)
+            writers.kmer_counts(passes(a.n_iteration, lambda i: kmers.counts(kmers.residue(features, a.n_iteration, i))), a.output, a.k, coded)
         else:
             if a.max_kmer_count < a.min_kmer_count:
                 raise ValueError("max_kmer_count is below min_kmer_count")
@@ -150,9 +161,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
                     from strandmill.functions import dna
 
                     contaminants = contaminants.withColumn("kmer", dna.code(F.col("kmer")))
-            writers.inverted_index(kmers.inverted_index(features, a.min_kmer_count, a.max_kmer_count, contaminants), a.output, a.k, coded)
+            writers.inverted_index(passes(a.n_iteration, lambda i: kmers.inverted_index(kmers.residue(features, a.n_iteration, i), a.min_kmer_count, a.max_kmer_count, contaminants)), a.output, a.k, coded)
     elif a.tool == "edges":
-        writers.edges(edges.shared(readers.inverted_index(spark, a.input), a.max_degree, a.min_shared_kmers), a.output)
+        index = readers.inverted_index(spark, a.input)
+        writers.edges(passes(a.n_iteration, lambda i: edges.shared(index, a.max_degree, a.min_shared_kmers, passes=a.n_iteration, turn=i)), a.output)
     elif a.tool == "overlap":
         rows = readers.edges(spark, a.input, a.min_shared_kmers, a.max_shared_kmers, a.n_partition)
         found = overlap.overlap_edges(rows, spark.read.parquet(a.db), a.min_overlap, a.err_rate)
@@ -168,7 +180,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         elif a.tool == "lpa":
             labels = clustering.lpa(rows, a.max_iteration, a.weight)
         elif a.tool == "mcl":
-            labels = clustering.markov(rows, a.max_iteration, a.inflation, a.scaling, a.weight)
+            labels = clustering.markov(rows, a.max_iteration, a.inflation, a.scaling, a.weight, convergence_rounds=a.convergence_iter)
         else:
             labels = clustering.affinity(rows, a.max_iteration, a.damping, a.scaling, a.convergence_iter, a.weight)
         wrote = writers.clusters(clustering.members(labels, max(1, least)), a.output, a.n_output_blocks)
@@ -182,7 +194,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         rows = spark.read.schema("head string, seq string").option("quote", "").csv(a.input, sep="\t")
         writers.reads_seq(readers.with_ids(rows), a.output, a.coalesce)
     elif a.tool == "store":
-        readers.reads(spark, a.input).select("id", "seq").write.mode("overwrite").option("compression", "lz4raw" if a.compress else "none").parquet(a.output)
+        readers.reads(spark, a.input).select("id", "seq").write.mode("overwrite").option("compression", "lz4_raw" if a.compress else "none").parquet(a.output)
     elif a.tool == "repartition":
         writers.repartitioned(spark.read.text(a.input), a.output, max(1, a.n_partition))
     return wrote

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import dna
 from strandmill.operators import clustering, edges, evaluation, kmers, matrix, overlap
-from strandmill.plans import chain
+from strandmill.operators.state import folder, written
+from strandmill.plans import chain, cli
 from strandmill.sources import readers, writers
 
 K = 31
@@ -143,14 +144,14 @@ def kmer_top_fraction(spark, sf_dir):
 
 @query(f"WITH {CANONICAL} SELECT kmer, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS reads FROM f GROUP BY kmer HAVING count(*) >= 2 AND count(*) <= 200")
 def kmer_inverted_index(spark, sf_dir):
-    index = kmers.inverted_index(kmers.in_range(features(spark, sf_dir), 2), 2, 201).where(F.size("reads") <= 200)
+    index = kmers.inverted_index(features(spark, sf_dir), 2, 201).where(F.size("reads") <= 200)
     return named(index.select("kmer", F.size("reads").cast("long").alias("n"), F.array_join(F.col("reads").cast("array<string>"), ",").alias("reads")))
 
 
 @query(f"WITH {CANONICAL}, {COUNTS}, t AS (SELECT kmer, row_number() OVER (ORDER BY cnt DESC, translate(kmer, 'ATCG', '0123')) AS i, count(*) OVER () AS n FROM c), k AS (SELECT kmer, count(*) AS n FROM f WHERE kmer NOT IN (SELECT kmer FROM t WHERE i <= floor(n * 0.01) + 1) GROUP BY kmer HAVING count(*) >= 2) SELECT kmer, least(n, 10) AS n FROM k")
 def kmer_contaminants_cap(spark, sf_dir):
     rows = features(spark, sf_dir)
-    index = kmers.inverted_index(rows, 2, 10, kmers.top_fraction(kmers.counts(rows), 0.01))
+    index = kmers.inverted_index(rows, 2, 10, kmers.top_fraction(written(kmers.counts(rows), "kmer-counts"), 0.01))
     return named(index.select("kmer", F.size("reads").cast("long").alias("n")))
 
 
@@ -493,3 +494,163 @@ def add_ids(spark, sf_dir):
 @query()
 def sample_reads(spark, sf_dir):
     return reads(spark, sf_dir).sample(False, 0.1, 7).select("id", F.length("seq").alias("bases"))
+
+
+# Files: each form written, and read back.
+
+
+def stored(spark: SparkSession, name: str) -> str:
+    return folder(spark, f"files-{name}")
+
+
+@query(f"WITH {READS} SELECT id, 'd' || id AS head, md5(seq) AS seq FROM r")
+def seq_files(spark, sf_dir):
+    at = stored(spark, "seq")
+    writers.reads_seq(reads(spark, sf_dir).withColumn("head", F.concat(F.lit("d"), "id")), at)
+    return readers.reads(spark, at, "seq", "part-*", partitions=5).select("id", "head", F.md5("seq").alias("seq"))
+
+
+@query("SELECT doc_id AS id, 'd' || doc_id AS head FROM documents")
+def header_files(spark, sf_dir):
+    at = stored(spark, "heads")
+    writers.reads_parquet(reads(spark, sf_dir).withColumn("head", F.concat(F.lit("d"), "id")), at, compat=True)
+    return readers.headers(spark, at, "parquet")
+
+
+@query(f"WITH {READS} SELECT id, md5(array_to_string(list_filter(string_split(seq, 'N'), lambda x: x <> ''), 'N')) AS seq FROM r")
+def base64_files(spark, sf_dir):
+    at = stored(spark, "base64")
+    writers.reads_base64(reads(spark, sf_dir), at)
+    return readers.reads(spark, at, "base64").select("id", F.md5("seq").alias("seq"))
+
+
+@query(f"WITH {CANONICAL}, {COUNTS} SELECT kmer, cnt FROM c")
+def kmer_count_files(spark, sf_dir):
+    at = stored(spark, "counts")
+    writers.kmer_counts(kmers.counts(features(spark, sf_dir)), at, K)
+    return readers.kmer_counts(spark, at, K)
+
+
+@query(f"WITH {CANONICAL} SELECT count(*) AS n, sum(k) AS total FROM (SELECT kmer, count(*) AS k FROM f GROUP BY kmer HAVING count(*) >= 2)".replace("sum(k)", "CAST(sum(k) AS BIGINT)"))
+def index_files(spark, sf_dir):
+    at = stored(spark, "index")
+    writers.inverted_index(kmers.inverted_index(features(spark, sf_dir), 2, 10**6), at, K)
+    return readers.inverted_index(spark, at).agg(F.count("kmer").alias("n"), F.sum(F.size("reads")).cast("long").alias("total"))
+
+
+@query(f"WITH {ORDERS} SELECT src, dst, w FROM e WHERE w >= 3")
+def edge_files(spark, sf_dir):
+    at = stored(spark, "edges")
+    writers.edges(order_edges(spark, sf_dir), at)
+    return readers.edges(spark, at, 3, 20000, partitions=3)
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {COMPONENTS} SELECT id, label FROM cc")
+def cluster_files(spark, sf_dir):
+    at = stored(spark, "clusters")
+    writers.clusters(clustering.members(clustering.components(order_edges(spark, sf_dir)), 2), at, 4)
+    return readers.clusters(spark, at)
+
+
+@query(f"WITH {READS} SELECT id, md5(seq) AS seq FROM r WHERE id % 7 = 3")
+def stored_lookup(spark, sf_dir):
+    """Reads in a bucketed table, found by id."""
+    name = folder(spark, "x").rsplit("-", 1)[1]
+    writers.sequence_store(reads(spark, sf_dir), f"reads_{name}", 8)
+    wanted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).where("id % 7 = 3")
+    return spark.table(f"reads_{name}").join(wanted, "id").select("id", F.md5("seq").alias("seq"))
+
+
+@query(f"WITH {READS}, o AS (SELECT id, seq, row_number() OVER (ORDER BY id) - 1 AS k FROM r) SELECT CAST(2 * k AS BIGINT) AS n, md5('>d' || id || chr(10) || seq) AS value FROM o UNION ALL SELECT CAST(2 * k + 1 AS BIGINT), md5('>e' || id || chr(10) || seq) FROM o")
+def fastq_interleave(spark, sf_dir):
+    sides = [_lines(spark, sf_dir, F.concat(F.lit(f"@{c}"), "id"), F.lower("seq"), F.lit("+"), F.lit("I")) for c in "de"]
+    return readers.interleaved(*sides).select("n", F.md5("value").alias("value"))
+
+
+# The command line, on files.
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> str:
+    at = stored(spark, "orders")
+    writers.edges(order_edges(spark, sf_dir), at)
+    return at
+
+
+def tool(spark: SparkSession, *args: str) -> str:
+    at = stored(spark, args[0])
+    cli.run(spark, cli.parser().parse_args([*args, "-o", at]))
+    return at
+
+
+@query(f"WITH {BOTH}, {COUNTS} SELECT kmer, cnt FROM c")
+def cli_kmer_count(spark, sf_dir):
+    at = stored(spark, "seq")
+    writers.reads_seq(reads(spark, sf_dir).withColumn("head", F.lit("h")), at)
+    return readers.kmer_counts(spark, tool(spark, "kmer-count", "-i", at, "-k", str(K), "--n_iteration", "2"), K)
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {COMPONENTS} SELECT id, label FROM cc")
+def cli_cc(spark, sf_dir):
+    return readers.clusters(spark, tool(spark, "cc", "-i", order_files(spark, sf_dir), "--big_cluster_threshold", "1", "--top_nodes_ratio", "0"))
+
+
+def clustered(sql: str) -> str:
+    """Clusters of two or more under their smallest id, as cluster files name them."""
+    return f"SELECT id, min(id) OVER (PARTITION BY label) AS label FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM ({sql})) WHERE n >= 2"
+
+
+@query(clustered(f"WITH {ORDERS}, {lpa_sql(4, 'edge', True)}"))
+def cli_lpa(spark, sf_dir):
+    return readers.clusters(spark, tool(spark, "lpa", "-i", order_files(spark, sf_dir), "--weight", "edge", "--max_iteration", "3"))
+
+
+@query(clustered(f"WITH {ORDERS}, {lpa_sql(3, 'none', False)}"))
+def cli_lpa_sync(spark, sf_dir):
+    return readers.clusters(spark, tool(spark, "lpa-sync", "-i", order_files(spark, sf_dir), "--max_iteration", "3"))
+
+
+@query(clustered(f"WITH {ORDERS}, {LOOPED}, {mcl_sql(3)}"))
+def cli_mcl(spark, sf_dir):
+    return readers.clusters(spark, tool(spark, "mcl", "-i", order_files(spark, sf_dir), "--weight", "edge", "--max_iteration", "3"))
+
+
+@query(clustered(f"WITH {ORDERS}, {LOOPED}, {ap_sql(3)}"))
+def cli_ap(spark, sf_dir):
+    return readers.clusters(spark, tool(spark, "ap", "-i", order_files(spark, sf_dir), "--weight", "edge", "--max_iteration", "3", "--convergence_iter", "4"))
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {COMPONENTS} SELECT 'o' || id AS head, label FROM cc")
+def cli_add_seq(spark, sf_dir):
+    heads = stored(spark, "seq")
+    writers.reads_seq(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("o"), "o_orderkey").alias("head"), F.lit("ACGT").alias("seq")), heads)
+    found = tool(spark, "cc", "-i", order_files(spark, sf_dir), "--big_cluster_threshold", "1", "--top_nodes_ratio", "0")
+    return spark.read.schema("head string, label long").csv(tool(spark, "add-seq", "-i", found, "--reads", heads), sep="\t")
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {COMPONENTS} SELECT id, label FROM cc")
+def message_loop(spark, sf_dir):
+    """Components by message passing: the least id travels until nothing changes."""
+    both = edges.symmetric(order_edges(spark, sf_dir).select("src", "dst"))
+    both = written(both, "message-edges")
+    state = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    return clustering.message_passing(state, both, F.col("label"), F.min("message"), F.least("label", "got"), "label", 100)
+
+
+@query(f"WITH {ORDERS}, n AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) SELECT CAST((SELECT sum(CASE WHEN n <= 10 THEN n * (n - 1) // 2 ELSE n * least(6, n - 1) END) FROM n) AS BIGINT) AS drawn, 0::BIGINT AS invented")
+def ring_draws(spark, sf_dir):
+    """What does not depend on the draw: how many pairs all lists give, and that no pair is drawn that shares nothing."""
+    drawn = written(edges_sampled_ring(spark, sf_dir), "ring")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("kmer"), F.col("l_orderkey").alias("id")).distinct()
+    false = drawn.join(edges.every_shared(rows, 1), ["src", "dst"], "left_anti").agg(F.count(F.lit(1)).alias("invented"))
+    return drawn.agg(F.sum("w").cast("long").alias("drawn")).crossJoin(F.broadcast(false))
+
+
+@query("SELECT true AS known, true AS once, true AS near")
+def sample_share(spark, sf_dir):
+    """A sample of reads without replacement: only reads of the table, none twice, about the share asked for."""
+    at = stored(spark, "seq")
+    rows = reads(spark, sf_dir)
+    writers.reads_seq(rows.withColumn("head", F.lit("h")), at)
+    got, n = written(readers.reads(spark, at, fraction=0.5, seed=3).select("id"), "sample"), rows.count()
+    strange = got.join(rows.select("id"), "id", "left_anti").count()
+    return got.agg(F.lit(strange == 0).alias("known"), (F.count("id") == F.count_distinct("id")).alias("once"), F.count("id").between(int(0.4 * n), int(0.6 * n)).alias("near"))

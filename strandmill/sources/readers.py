@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
+from strandmill.operators.state import written
 
 SEQ_SCHEMA = "id long, head string, seq string"
 
@@ -13,11 +14,12 @@ SEQ_SCHEMA = "id long, head string, seq string"
 def reads(spark: SparkSession, path: str | list[str], form: str = "seq", pattern: str = "", partitions: int = 0, fraction: float = -1.0, seed: int = 0) -> DataFrame:
     """(id, head, seq) from seq (tab-separated), base64 or parquet files; base64 has no headers.
 
-    pattern filters file names; fraction > 0 samples rows without replacement; partitions > 0 deals them out anew.
+    pattern filters file names; fraction > 0 samples rows without replacement; partitions > 0 deals them out anew. A line of a seq
+    file that is no read (its id no number, or other than three fields) is an error.
     """
     source = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
     if form == "seq":
-        rows = source.schema(SEQ_SCHEMA).option("quote", "").option("mode", "DROPMALFORMED").csv(path, sep="\t")
+        rows = source.schema(SEQ_SCHEMA).option("quote", "").option("mode", "FAILFAST").csv(path, sep="\t")
     elif form == "base64":
         rows = base64_reads(source.text(path))
     elif form == "parquet":
@@ -34,9 +36,9 @@ def reads(spark: SparkSession, path: str | list[str], form: str = "seq", pattern
 
 
 def segments(seq: Column) -> Column:
-    """The sequence's parts between N as an array of (len, packed), empty ones left out."""
+    """The sequence's parts between N as an array of (len, packed), empty ones left out. Packed is one line of base64, however long."""
     parts = F.filter(F.split(seq, "N"), lambda p: F.length(p) > 0)
-    return F.transform(parts, lambda p: F.struct(F.length(p).alias("len"), F.base64(dna.pack(p)).alias("packed")))
+    return F.transform(parts, lambda p: F.struct(F.length(p).alias("len"), F.translate(F.base64(dna.pack(p)), "\r\n", "").alias("packed")))
 
 
 def joined(segs: Column) -> Column:
@@ -88,12 +90,21 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("head string, truth string").csv(path, sep="\t")
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines (value) with contiguous 0-based numbers in file order.
+def positions(rows: DataFrame, out: str, start: int = 0) -> DataFrame:
+    """Rows with contiguous numbers from `start` in column `out`, in partition order: places in partitions plus prefix sums of their sizes.
 
-    Only counts of partitions reach the driver; numbers follow partition order, which for text files is file and offset.
+    Rows are made once and written with their places; one row for each partition is summed.
     """
-    return lines.rdd.zipWithIndex().map(lambda p: (p[1], p[0][0])).toDF("n long, value string")
+    spot = F.monotonically_increasing_id()
+    placed = written(rows.select("*", F.shiftright(spot, 33).alias("_part"), spot.bitwiseAND(F.lit(2**33 - 1)).alias("_at")), "positions")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return placed.join(base, "_part").select((F.col("_base") + F.col("_at") + start).alias(out), *rows.columns)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines (value) with contiguous 0-based numbers in partition order, which for text files is file and offset."""
+    return positions(lines.select("value"), "n")
 
 
 def fasta(lines: DataFrame, paired: bool = False) -> DataFrame:
@@ -124,10 +135,9 @@ def interleaved(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def with_ids(rows: DataFrame, start: int = 0) -> DataFrame:
     """Rows (head, seq) with contiguous ids from `start`, in partition order."""
-    indexed = rows.select("head", "seq").rdd.zipWithIndex().map(lambda p: (p[1] + start, p[0][0], p[0][1]))
-    return indexed.toDF(SEQ_SCHEMA)
+    return positions(rows.select("head", "seq"), "id", start)
 
 
 def shuffled_ids(rows: DataFrame, seed: int, order: str = "head") -> DataFrame:
     """Rows with ids by a seeded hash order of `order`: a random but repeatable deal."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), order), order)).cast("long") - 1)
+    return positions(rows.orderBy(F.xxhash64(F.lit(seed), order), order), "id").select(*rows.columns, "id")

@@ -69,4 +69,4 @@ def repartitioned(df: DataFrame, path: str, parts: int) -> None:
 
 def sequence_store(rows: DataFrame, table: str, buckets: int = 64, compress: bool = True) -> None:
     """Reads as a table bucketed by id, so that joins on ids need no shuffle of the reads."""
-    rows.select("id", "seq").write.mode("overwrite").option("compression", "lz4raw" if compress else "none").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
+    rows.select("id", "seq").write.mode("overwrite").option("compression", "lz4_raw" if compress else "none").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)

@@ -14,7 +14,7 @@ def rows(frame):
     return sorted(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["reverse_complement", "pack_unpack", "kmer_count_canonical", "kmer_top_fraction", "edges_orders", "cc", "lpa_weighted", "mcl", "affinity_propagation", "mat_mmult", "nmi", "base64_roundtrip"])
+@pytest.mark.parametrize("name", ["reverse_complement", "pack_unpack", "kmer_count_canonical", "kmer_top_fraction", "edges_orders", "cc", "lpa_weighted", "mcl", "affinity_propagation", "mat_mmult", "nmi", "base64_roundtrip", "seq_files", "base64_files", "stored_lookup", "edge_files", "message_loop", "ring_draws", "sample_share", "cli_lpa_sync", "cli_ap"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "lineitem", "orders", "customer", "labels"):
