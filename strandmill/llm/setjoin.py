@@ -317,7 +317,11 @@ def run_pairs(prefixes: DataFrame, full: int = FULL) -> tuple[DataFrame, DataFra
 
 
 def far_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many bits differ between each of the sketches x and each of y."""
+    """How many bits differ between each of the sketches x and each of y.
+
+    Bits of signed numbers would be counted on their absolute values, so words are taken as unsigned.
+    """
+    x, y = x.view(np.uint64), y.view(np.uint64)
     out = np.empty((len(x), len(y)), dtype=np.int32)
     for i, row in enumerate(x):
         out[i] = np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int32)

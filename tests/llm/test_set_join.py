@@ -87,6 +87,20 @@ def test_common_passage_makes_no_pairs(spark):
     assert setjoin.rare_prefixes(docs, sets, 4, 85, 100).count() == 0
 
 
+def test_far_apart_counts_the_highest_bit():
+    """Words whose highest bits differ give negative numbers: their bits are those of the words, and never more than the shingles."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(2**63), 2**63, (40, setjoin.BITS // 64), dtype=np.int64)
+    words[0] = 0
+    words[1] = -1
+    want = [[sum((int(a ^ b) % 2**64).bit_count() for a, b in zip(x, y, strict=True)) for y in words] for x in words]
+    assert setjoin.far_apart(words, words).tolist() == want
+    one = np.unique(rng.integers(0, 2**63, 160, dtype=np.uint64))
+    for k in range(1, 24):
+        less = setjoin.sketch(one[k:])
+        assert setjoin.far_apart(setjoin.sketch(one)[None], less[None])[0, 0] <= k
+
+
 def test_rest_pairs_meet_in_blocks(spark):
     """All open pairs of a list come out, whatever the blocks, and no others."""
     rng = np.random.default_rng(0)
@@ -100,7 +114,7 @@ def test_rest_pairs_meet_in_blocks(spark):
     for i in range(90):
         for j in range(i + 1, 90):
             n, m = len(sets[i]), len(sets[j])
-            apart = int(np.bitwise_count(setjoin.sketch(sets[i]) ^ setjoin.sketch(sets[j])).sum())
+            apart = sum((int(x ^ y) % 2**64).bit_count() for x, y in zip(setjoin.sketch(sets[i]), setjoin.sketch(sets[j]), strict=True))
             if component[i] != component[j] and 85 * max(n, m) <= 100 * min(n, m) and 185 * apart <= 15 * (n + m):
                 want.add((i, j))
     long = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
