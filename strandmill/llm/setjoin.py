@@ -188,7 +188,8 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
     """(a, b, full): pairs of classes that share a signature; full is 1 for star edges of signatures with over 16 classes.
 
     Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk. `shingles`, the
-    number of all sets' shingles, sets the number of tasks that signatures are dealt to, so that each holds about HELD of them.
+    number of all sets' shingles, sets the number of tasks that signatures are dealt to, so that each holds about HELD of them. They
+    move in blocks, one for each chunk and task.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +198,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows, sig, cls = _pairs(np.concatenate(sigs).view(np.int64), np.concatenate(ids), full)
-            rows = rows[rows[:, 2] == 1]
-            order = np.argsort(cls, kind="stable")  # a set's rows together: its hash is then written about once to each shuffle file
-            sig, cls = sig[order], cls[order]
-            a = np.concatenate([sig, rows[:, 0]])
-            b = np.concatenate([cls, rows[:, 1]])
-            star = np.concatenate([np.zeros(len(sig), bool), np.ones(len(rows), bool)])
-            for lo in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (a, b, star)], names=["sig", "class", "star"])
+            yield from _blocks(sig, cls, rows[rows[:, 2] == 1], parts)
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -228,22 +222,45 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, ids = [], []
         for batch in batches:
-            sig, cls, star = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if star.any():
-                yield _edges(np.stack([sig[star], cls[star], np.ones(int(star.sum()), np.int64)], axis=1))
-            sigs.append(sig[~star])
-            ids.append(cls[~star])
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                sig, cls, counts = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, np.uint32), strict=True))
+                if len(counts):
+                    sigs.append(sig)
+                    ids.append(np.repeat(cls, counts))
+                else:
+                    yield _edges(np.stack([sig, cls, np.ones(len(sig), np.int64)], axis=1))
         if sigs:
             rows = _pairs(np.concatenate(sigs), np.concatenate(ids), full)[0]
             for lo in range(0, len(rows), 100_000):
                 yield _edges(rows[lo : lo + 100_000])
 
-    rows = docs.transform(common.arrow_map, sign, "sig long, class long, star boolean")
     expected = 4 * shingles * den * (den - num) // (num * (den + num))
-    rows = rows.repartition(expected // HELD, "sig") if expected // HELD > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(F.col("sig"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(tasks, expected // (HELD // 16) + 1), expected // HELD)
+    rows = docs.transform(common.arrow_map, sign, "part int, sig binary, class binary, counts binary").repartitionById(parts, "part")
     return rows.transform(common.arrow_map, meet, "a long, b long, full int").groupBy("a", "b").agg(F.min("full").alias("full"), F.max("full").alias("group"))
 
 
+def _blocks(sig: np.ndarray, cls: np.ndarray, stars: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Signatures as one row (part, sig, class, counts) for each of the `parts` tasks that they are dealt to: a class is written once,
+    with the number of its signatures there, so a signature takes little more than its 8 bytes. Star edges have no counts."""
+    part = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((cls, part))
+    sig, cls, part = sig[order], cls[order], part[order]
+    run = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (part[1:] != part[:-1])])) if len(sig) else np.zeros(0, np.int64)
+    counts, name, at = np.diff(np.append(run, len(sig))).astype(np.uint32), cls[run], part[run]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(run) else run
+    rows = [(int(at[i]), sig[run[i] : run[j] if j < len(run) else len(sig)], name[i:j], counts[i:j]) for i, j in zip(first, np.append(first[1:], len(run)), strict=True)]
+    rows += [(k % parts, stars[lo : lo + 50_000, 0], stars[lo : lo + 50_000, 1], counts[:0]) for k, lo in enumerate(range(0, len(stars), 50_000))]
+    while rows:
+        size, n = 0, 0
+        while n < len(rows) and size < common.BATCH_BYTES:
+            size, n = size + rows[n][1].nbytes + rows[n][2].nbytes, n + 1
+        some, rows = rows[:n], rows[n:]
+        columns = [pa.array([r[0] for r in some], pa.int32()), *(pa.array([r[k].tobytes() for r in some], pa.binary()) for k in (1, 2, 3))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "sig", "class", "counts"])
+
+
 def _edges(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int64()), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2].astype(np.int32), pa.int32())], names=["a", "b", "full"])
 
