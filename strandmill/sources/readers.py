@@ -9,6 +9,8 @@ from strandmill.functions import dna
 from strandmill.operators.state import written
 
 SEQ_SCHEMA = "id long, head string, seq string"
+#: What stands for a null header or sequence in seq files; an empty field is an empty one.
+NULL = "\\N"
 
 
 def reads(spark: SparkSession, path: str | list[str], form: str = "seq", pattern: str = "", partitions: int = 0, fraction: float = -1.0, seed: int = 0) -> DataFrame:
@@ -20,6 +22,7 @@ def reads(spark: SparkSession, path: str | list[str], form: str = "seq", pattern
     source = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
     if form == "seq":
         rows = source.schema(SEQ_SCHEMA).option("quote", "").option("mode", "FAILFAST").csv(path, sep="\t")
+        rows = rows.select("id", *(F.when(F.col(c) == NULL, F.lit(None)).otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in ("head", "seq")))
     elif form == "base64":
         rows = base64_reads(source.text(path))
     elif form == "parquet":

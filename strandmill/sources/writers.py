@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.sources.readers import segments
+from strandmill.sources.readers import NULL, segments
 
 
 def _text(df: DataFrame, path: str, parts: int = 0) -> None:
@@ -58,8 +58,10 @@ def base64_lines(rows: DataFrame) -> DataFrame:
 
 
 def reads_seq(rows: DataFrame, path: str, coalesce: bool = False) -> None:
-    out = rows.select("id", "head", "seq")
-    (out.coalesce(1) if coalesce else out).write.mode("overwrite").option("quote", "").csv(path, sep="\t")
+    """Lines "id, tab, head, tab, seq"; an empty field is an empty text, and NULL stands for a null one."""
+    out = rows.select("id", *(F.coalesce(c, F.lit(NULL)).alias(c) for c in ("head", "seq")))
+    plain = {"quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    (out.coalesce(1) if coalesce else out).write.mode("overwrite").options(**plain).csv(path, sep="\t")
 
 
 def repartitioned(df: DataFrame, path: str, parts: int) -> None:

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,27 @@ def test_round_trips(spark, tmp_path):
         readers.headers(spark, str(tmp_path / "b"), "base64")
 
 
+def odd_documents(spark, tmp_path):
+    texts = [None, "", "12 #", "qq", "q a q", "Qabcq qdef", "abc" * 400]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+@pytest.mark.parametrize("name", ["seq_files", "base64_files", "base64_roundtrip"])
+def test_files_keep_null_empty_and_baseless_reads(spark, tmp_path, name):
+    folder, con = odd_documents(spark, tmp_path)
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall(), key=str)
+
+
+def test_seq_files_keep_odd_headers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "ACGT"), (2, "", ""), (3, " x ", None), (4, '"', "ACGT")], "id long, head string, seq string")
+    writers.reads_seq(rows, str(tmp_path / "s"))
+    assert sorted(readers.reads(spark, str(tmp_path / "s")).collect(), key=lambda r: r.id) == rows.collect()
+
+
 def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x 1\nacg\n>y\nttt\n")
     assert [(r.head, r.seq) for r in readers.fasta(spark.read.text(str(tmp_path / "a.fa"))).orderBy("n").collect()] == [("x 1", "ACG"), ("y", "TTT")]
