@@ -50,10 +50,11 @@ def joined(segs: Column) -> Column:
 
 
 def base64_reads(lines: DataFrame) -> DataFrame:
-    """(id, head, seq) from lines "id,len packed,len packed"."""
+    """(id, head, seq) from lines "id,len packed,len packed". "id," is a sequence without a base, "id" alone a null one."""
     fields = F.split("value", ",")
-    parts = F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda p: F.struct(F.split_part(p, F.lit(" "), F.lit(1)).cast("int").alias("len"), F.split_part(p, F.lit(" "), F.lit(2)).alias("packed")))
-    return lines.where("value <> ''").select(F.get(fields, 0).cast("long").alias("id"), F.lit(None).cast("string").alias("head"), joined(parts).alias("seq"))
+    held = F.filter(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda p: p != "")
+    parts = F.transform(held, lambda p: F.struct(F.split_part(p, F.lit(" "), F.lit(1)).cast("int").alias("len"), F.split_part(p, F.lit(" "), F.lit(2)).alias("packed")))
+    return lines.where("value <> ''").select(F.get(fields, 0).cast("long").alias("id"), F.lit(None).cast("string").alias("head"), F.when(F.size(fields) > 1, joined(parts)).alias("seq"))
 
 
 def headers(spark: SparkSession, path: str, form: str = "seq", pattern: str = "") -> DataFrame:

@@ -47,7 +47,7 @@ def reads_parquet(rows: DataFrame, path: str, coalesce: bool = False, compat: bo
 
 
 def reads_base64(rows: DataFrame, path: str, coalesce: bool = False) -> None:
-    """Lines "id,len packed,len packed"."""
+    """Lines "id,len packed,len packed"; "id," without a base, "id" alone for a null sequence."""
     out = base64_lines(rows)
     _text(out.coalesce(1) if coalesce else out, path)
 
