@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.operators import kmers, overlap
+from strandmill.operators import blocks, kmers, overlap
 from strandmill.plans import queries
 from strandmill.sources import readers, writers
 
@@ -25,6 +25,10 @@ def brute(seq, k, strands):
     return {min(x, rc(x)) for x in out} if strands == "canonical" else out | {rc(x) for x in out} if strands == "both" else out
 
 
+def dna_rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def test_reverse_complement_and_canonical(spark):
     assert one(spark, dna.reverse_complement(F.lit("TAAAGAAAACGCTGGAAAACAGCGTGCTGGAA"))) == "TTCCAGCACGCTGTTTTCCAGCGTTTTCTTTA"
     assert one(spark, dna.canonical(F.lit("GCAAAGAAAACGCTGGAAAACAGCGTGCTGG"))) == "CCAGCACGCTGTTTTCCAGCGTTTTCTTTGC"
@@ -58,6 +62,29 @@ def test_kmers_match_brute_force(spark, impl, strands, k):
     assert {(r.id, r.kmer) for r in got.collect()} == {(i, x) for i, s in rows for x in brute(s, k, strands)}
 
 
+@pytest.mark.parametrize("k", [5, 12, 31])
+def test_blocks_equal_the_long_form(spark, monkeypatch, k):
+    monkeypatch.setattr(blocks, "CHUNK", 900)
+    rng = random.Random(k)
+    part = ["".join(rng.choice("ACGTACGTACGTN") for _ in range(90)) for _ in range(8)]
+    seqs = [None, "", "ACGT", *("".join(rng.choice(part) for _ in range(rng.randint(1, 30))) for _ in range(40))]
+    seqs += [dna_rc(s) for s in seqs[5:9]]
+    reads = spark.createDataFrame([*enumerate(seqs), (7, seqs[9]), (None, seqs[8])], "id long, seq string")
+    long = kmers.explode(reads, k).distinct()
+    same = lambda a, b: a.exceptAll(b).count() + b.exceptAll(a).count() == 0
+    assert kmers.counts(long).count() > 50 and same(kmers.counts(long), blocks.counts(reads, k))
+    assert same(kmers.counts(long), blocks.counts(reads, k, passes=2).unionByName(blocks.counts(reads, k, passes=2, turn=1)))
+    assert same(kmers.counts(kmers.explode(reads, k, "both").distinct()), blocks.counts(reads, k, "both"))
+    assert same(kmers.inverted_index(long, 2, 6), blocks.inverted_index(reads, k, 6))
+
+
+def test_blocks_move_few_bytes(spark):
+    rng = random.Random(1)
+    reads = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(5000))) for i in range(100)], "id long, seq string")
+    moved = blocks.dealt(reads, 31).selectExpr("sum(octet_length(data))").first()[0]
+    assert moved < 2 * 100 * 5000
+
+
 def test_known_counts(spark):
     rows = spark.createDataFrame(SEQS, "id long, seq string")
     n = lambda i, k: kmers.explode(rows.where(F.col("id") == i), k).count()
