@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
 
 
 def all_pairs(index: DataFrame) -> DataFrame:
-    """(src, dst) for each pair in each list of `reads`; lists are bounded by the caller."""
-    head = index.select("reads", F.posexplode("reads").alias("at", "src"))
-    later = head.select("src", F.explode(F.slice(F.col("reads"), F.col("at") + 2, F.size("reads"))).alias("dst"))
-    return later.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    """(src, dst, n) for each pair in each list of `reads`; lists are bounded by the caller. n is the list's own, or 1."""
+    head = index.select("reads", times(index), F.posexplode("reads").alias("at", "src"))
+    later = head.select("src", "n", F.explode(F.slice(F.col("reads"), F.col("at") + 2, F.size("reads"))).alias("dst"))
+    return later.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "n")
+
+
+def times(index: DataFrame) -> Column:
+    """How often a list stands for itself: its column n, or once."""
+    return (F.col("n") if "n" in index.columns else F.lit(1).cast("long")).alias("n")
 
 
 def ring_pairs(index: DataFrame, max_degree: int, seed: int = 0) -> DataFrame:
-    """(src, dst) in lists longer than max_degree: in a seeded hash order each read meets the next ceil(max_degree / 2) + 1, round."""
+    """(src, dst, n) in lists longer than max_degree: in a seeded hash order each read meets the next ceil(max_degree / 2) + 1, round."""
     near = -(-max_degree // 2) + 1
     mixed = F.transform(F.array_sort(F.transform("reads", lambda x: F.struct(F.xxhash64(F.lit(seed), x).alias("h"), x.alias("id")))), lambda s: s["id"])
-    rows = index.select(mixed.alias("reads")).select("reads", F.posexplode("reads").alias("at", "a"))
+    rows = index.select(times(index), mixed.alias("reads")).select("reads", "n", F.posexplode("reads").alias("at", "a"))
     n = F.size("reads")
-    rows = rows.select("a", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(near), n - 1)), lambda i: F.element_at(F.col("reads"), F.pmod(F.col("at") + i, n) + 1))).alias("b"))
-    return rows.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    rows = rows.select("a", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(near), n - 1)), lambda i: F.element_at(F.col("reads"), F.pmod(F.col("at") + i, n) + 1))).alias("b"))
+    return rows.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "n")
 
 
 def shared(index: DataFrame, max_degree: int = 100, min_shared: int = 2, seed: int = 0, passes: int = 1, turn: int = 0) -> DataFrame:
-    """(src, dst, w), src < dst: how many lists a pair is drawn from, of at least min_shared; of several passes, the pairs of one turn."""
+    """(src, dst, w), src < dst: how many lists (each n times) a pair is drawn from, of at least min_shared; of several passes, the pairs of one turn."""
     short, long = index.where(F.size("reads") <= max_degree), index.where(F.size("reads") > max_degree)
     pairs = all_pairs(short).unionByName(ring_pairs(long, max_degree, seed))
     if passes > 1:
         pairs = residue(pairs, passes, turn)
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_shared)
+    return pairs.groupBy("src", "dst").agg(F.sum("n").alias("w")).where(F.col("w") >= min_shared)
 
 
 def every_shared(features: DataFrame, min_shared: int = 2, block: int = 1000) -> DataFrame:
@@ -48,7 +53,7 @@ def every_shared(features: DataFrame, min_shared: int = 2, block: int = 1000) ->
         F.array_sort(F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("id")))).alias("reads"), F.array_sort(F.collect_list(F.when(F.col("own") > F.col("other"), F.col("id")))).alias("others")
     )
     across = held.where("p < q").select(F.explode("reads").alias("a"), "others").select("a", F.explode("others").alias("b"))
-    pairs = all_pairs(held.where("p = q")).unionByName(across.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+    pairs = all_pairs(held.where("p = q")).drop("n").unionByName(across.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= min_shared)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import dna
-from strandmill.operators import blocks, kmers, overlap
+from strandmill.operators import blocks, edges, kmers, overlap
 from strandmill.plans import queries
 from strandmill.sources import readers, writers
 
@@ -76,6 +76,7 @@ def test_blocks_equal_the_long_form(spark, monkeypatch, k):
     assert same(kmers.counts(long), blocks.counts(reads, k, passes=2).unionByName(blocks.counts(reads, k, passes=2, turn=1)))
     assert same(kmers.counts(kmers.explode(reads, k, "both").distinct()), blocks.counts(reads, k, "both"))
     assert same(kmers.inverted_index(long, 2, 6), blocks.inverted_index(reads, k, 6))
+    assert same(edges.shared(kmers.inverted_index(long, 2, 20), 5), edges.shared(blocks.shared_lists(reads, k, 20), 5))
 
 
 def test_blocks_move_few_bytes(spark):
