@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.operators import clustering, edges, kmers, overlap
+from strandmill.operators import blocks, clustering, edges, kmers, overlap
 from strandmill.operators.state import written
 from strandmill.sources import readers, writers
 
@@ -69,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
     p = add("kmer-count")
     _io(p)
     _kmer(p)
+    p.add_argument("--codec", choices=("none", "gzip"), default="none", help="compression of the files")
     p = add("kmer-map")
     _io(p, "--reads")
     _kmer(p)
@@ -146,7 +147,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         rows = readers.reads(spark, a.input, a.format, a.pattern, a.n_partition)
         coded = a.k <= 31
         features = kmers.explode(rows, a.k, "canonical" if a.canonical else "both", "arrow" if coded else "expr")
-        if a.tool == "kmer-count":
+        if a.tool == "kmer-count" and coded:
+            strands = "canonical" if a.canonical else "both"
+            writers.kmer_counts(passes(a.n_iteration, lambda i: blocks.counts(rows, a.k, strands, a.n_iteration, i)), a.output, a.k, codec=a.codec)
+        elif a.tool == "kmer-count":
             writers.kmer_counts(passes(a.n_iteration, lambda i: kmers.counts(kmers.residue(features, a.n_iteration, i))), a.output, a.k, coded)
         else:
             if a.max_kmer_count < a.min_kmer_count:

@@ -13,10 +13,10 @@ def _text(df: DataFrame, path: str, parts: int = 0) -> None:
     (df.repartition(parts) if parts > 0 else df).write.mode("overwrite").text(path)
 
 
-def kmer_counts(counted: DataFrame, path: str, k: int, coded: bool = True) -> None:
-    """Lines "base64 count" by falling count, then k-mer."""
+def kmer_counts(counted: DataFrame, path: str, k: int, coded: bool = True, codec: str = "none") -> None:
+    """Lines "base64 count" by falling count, then k-mer. codec compresses the files (gzip)."""
     key = dna.kmer_base64(dna.from_code(F.col("kmer"), k) if coded else F.col("kmer"))
-    counted.orderBy(F.desc("cnt"), "kmer").select(F.concat_ws(" ", key, F.col("cnt").cast("string"))).write.mode("overwrite").text(path)
+    counted.orderBy(F.desc("cnt"), "kmer").select(F.concat_ws(" ", key, F.col("cnt").cast("string"))).write.mode("overwrite").option("compression", codec).text(path)
 
 
 def inverted_index(index: DataFrame, path: str, k: int, coded: bool = True) -> None:
@@ -57,10 +57,10 @@ def base64_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", F.col("id").cast("string"), F.array_join(parts, ",")).alias("value"))
 
 
-def reads_seq(rows: DataFrame, path: str, coalesce: bool = False) -> None:
-    """Lines "id, tab, head, tab, seq"; an empty field is an empty text, and NULL stands for a null one."""
+def reads_seq(rows: DataFrame, path: str, coalesce: bool = False, codec: str = "none") -> None:
+    """Lines "id, tab, head, tab, seq"; an empty field is an empty text, and NULL stands for a null one. codec compresses the files (gzip)."""
     out = rows.select("id", *(F.coalesce(c, F.lit(NULL)).alias(c) for c in ("head", "seq")))
-    plain = {"quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    plain = {"quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "compression": codec}
     (out.coalesce(1) if coalesce else out).write.mode("overwrite").options(**plain).csv(path, sep="\t")
 
 
