@@ -345,11 +345,30 @@ def far_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def rest_pairs(prefixes: DataFrame, long: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b) of components g and h, `far` apart, those that nearest first join two components that none before did."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    kept = []
+    for i in np.lexsort((b, a, far)).tolist():
+        x, y = top(int(g[i])), top(int(h[i]))
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def rest_pairs(prefixes: DataFrame, long: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int, block: int = BLOCK, *, forest: bool = False) -> DataFrame:
     """Pairs (a, b) still open in long lists: of a set outside its list's largest component with any other of another component.
 
     Either side of a list is dealt into blocks of about `block` sets; sketches of two blocks meet in one task, which returns the
-    pairs that sizes and sketches allow.
+    pairs that sizes and sketches allow. With `forest` a task returns of them the nearest that span its components: fewer than it has
+    sets. Once these are verified and joined, most other pairs lie within a component, and a second call gives what is left.
     """
     rows = prefixes.join(common.small(long.select("token", "n")), "token").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     rows = common.staged(rows, "set-lists")
@@ -376,8 +395,12 @@ def rest_pairs(prefixes: DataFrame, long: DataFrame, labels: DataFrame, reps: Da
                 k = slice(lo, lo + 256)
                 total = n[k, None] + m[None, :]
                 ok = (g[k, None] != h[None, :]) & (num * np.maximum(n[k, None], m[None, :]) <= den * np.minimum(n[k, None], m[None, :]))
-                ok &= (den + num) * far_apart(s[k], t).astype(np.int64) <= (den - num) * total
+                far = far_apart(s[k], t).astype(np.int64)
+                ok &= (den + num) * far <= (den - num) * total
                 i, j = np.nonzero(ok)
+                if forest:
+                    near = _forest(c[k][i], d[j], g[k][i], h[j], far[i, j] / total[i, j])
+                    i, j = i[near], j[near]
                 a, b = c[k][i], d[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
@@ -433,9 +456,9 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
         pairs = pairs.unionByName(more).distinct()
         spent += [sets, prefixes]
     links = verified(docs, pairs, reps, width, num, den)
-    if dear and long.limit(1).count():
+    for forest in (True, True, False) if dear and long.limit(1).count() else ():
         labels = connected_components(links, "a", "b").select(F.col("id").alias("class"), "component")
-        links = common.staged(links.unionByName(verified(docs, rest_pairs(prefixes, long, labels, reps, num, den), reps, width, num, den)), "set-links")
+        links = common.staged(links.unionByName(verified(docs, rest_pairs(prefixes, long, labels, reps, num, den, forest=forest), reps, width, num, den)), "set-links")
     joined = connected_components(links, "a", "b").select(F.col("id").alias("class"), "component")
     common.discard(*spent)
     grouped = reps.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))

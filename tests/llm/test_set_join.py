@@ -121,3 +121,19 @@ def test_rest_pairs_meet_in_blocks(spark):
     for block in (7, 1000):
         got = setjoin.rest_pairs(prefixes, long, labels, reps, 85, 100, block).collect()
         assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_forest_spans_components_by_near_pairs():
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 30, 200)
+    i, j = np.nonzero((group[:, None] != group[None, :]) & (rng.random((200, 200)) < 0.2))
+    far = rng.random(len(i))
+    kept = setjoin._forest(i, j, group[i], group[j], far)
+    assert len(kept) == len(set(group)) - 1  # not all of the thousands of pairs
+    root = dict(zip(group, group, strict=True))
+    for a, b in zip(group[i[kept]], group[j[kept]], strict=True):
+        old, new = root[a], root[b]
+        root = {x: new if y == old else y for x, y in root.items()}
+    assert len(set(root.values())) == 1
+    assert far[kept].mean() < far.mean() / 2
+    assert len(setjoin._forest(i[:0], j[:0], i[:0], j[:0], far[:0])) == 0
