@@ -29,6 +29,25 @@ def test_chunks_encode_as_whole_texts():
         assert enc(t) == np.array(full.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_columns_encode_as_whole_texts(monkeypatch):
+    from strandmill.llm import tokens
+
+    rng = np.random.default_rng(6)
+    letters = [*"abzAZéÀß.,'$*<>|_-09 \n\u0301\u0331Kİ中ªµs×\x1c\x85\xa0", " ", "***", "<|endoftext|>", "'s"]
+    texts = [*ODD, *("".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(2000))]
+    full = Tokenizer.from_file(PATH)
+    want = [np.array(full.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    column = pa.array([None, *texts])[1:]
+    enc = ChunkEncoder(PATH)
+    assert enc.batch(column) == want and enc.batch(column[:0]) == [] and enc.batch(column[:3]) == [b""] * 3
+    enc = ChunkEncoder(PATH)
+    enc.batch(pa.array(["Word*** word.### WORD &&&"]))
+    assert list(enc.base) == ["word"] and set(enc.memo) == {b"***", b".###", b"&&&"}  # a word is learnt once, whatever marks follow it
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    small = ChunkEncoder(PATH)
+    assert small.batch(column) == want and len(small.base) <= 40
+
+
 def test_packing(spark):
     full, rows = Tokenizer.from_file(PATH), docs(spark).collect()
     got = packing.pack(docs(spark).repartition(3), PATH, 64).collect()
