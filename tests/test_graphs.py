@@ -125,6 +125,37 @@ def test_edges(spark):
     assert edges.among(rows, nodes).count() == 1 and edges.outside(rows, nodes).count() == 1
 
 
+def test_exact_overlap_moves_no_text_with_an_edge(spark, monkeypatch):
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("ACGTN" if rng.random() < 0.02 else "ACGT") for _ in range(rng.randint(0, 60))) for _ in range(12)]
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = {}
+    for i in range(-40, 80):
+        x = rng.choice(["A", "AC", "N"]) * rng.randint(0, 30) if rng.random() < 0.2 else rng.choice(bases) + rng.choice(bases)
+        x = x[rng.randint(0, 9) : len(x) - rng.randint(0, 9)]
+        texts[i] = flip(x) if rng.random() < 0.5 else x
+    pairs = [(rng.choice([*texts]), rng.choice([*texts]), 1) for _ in range(3000)]
+    pairs += pairs[:50]  # parallel edges stay rows of their own
+    rows, reads = spark.createDataFrame(pairs, "src long, dst long, w long").repartition(3), spark.createDataFrame([*texts.items(), (99, None)], "id long, seq string")
+    monkeypatch.setattr(overlap, "HITS", 500)
+    for least in (2, 12):
+        found = overlap.overlap_edges(rows, reads, least)
+        want = sorted((a, b, w) for a, b, _ in pairs if (w := overlap.sequence_overlap(texts[a], texts[b], least)))
+        assert sorted(map(tuple, found.collect())) == want
+    nodes = [found._jdf.queryExecution().optimizedPlan()]
+    joins = 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().length())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert "string" not in {node.output().apply(i).dataType().typeName() for i in range(node.output().length())}
+    assert joins
+    twice = reads.unionByName(spark.createDataFrame([(5, texts[7])], "id long, seq string"))  # ids that stand for two reads
+    want = sorted((a, b, w) for a, b, _ in pairs for x in ([texts[a], texts[7]] if a == 5 else [texts[a]]) for y in ([texts[b], texts[7]] if b == 5 else [texts[b]]) if (w := overlap.sequence_overlap(x, y, 12)))
+    assert sorted(map(tuple, overlap.overlap_edges(rows, twice, 12).collect())) == want
+
+
 def test_overlap(spark):
     a, b = "ACGTTGCAACGGATCCATTGACCGGATTAC", "GGATCCATTGACCGGATTACTTTTT"
     assert overlap.sequence_overlap(a, b, 10) == 20
