@@ -186,6 +186,8 @@ def _exact_edges(edges: DataFrame, reads: DataFrame, ends: DataFrame, count: int
             tail = kind % 2 == 1
             n = np.minimum(np.where(tail, p + least - first, first + size - p), np.abs(row["n"][edge]))
             p = np.where(tail, p + least - n, p)
+            once = ~tail | (n < np.abs(row["n"][edge]))  # a whole read is found by its head already
+            p, kind, edge, n = p[once], kind[once], edge[once], n[once]
             columns = (row["other"][edge], row["holder"][edge], np.where(row["n"][edge] < 0, kind + 4, kind), n, held.hash(p, n), row["edge"][edge])
             for a in range(0, len(n), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000].astype(np.int64)) for c in columns], names=["other", "holder", "kind", "n", "hash", "edge"])
