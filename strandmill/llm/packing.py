@@ -28,16 +28,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 2048):
-                ids = [x + end for x in enc.batch(texts[lo : lo + 2048])]
+            for lo in range(0, batch.num_rows, 512):
+                ids = [x + end for x in enc.batch(texts[lo : lo + 512])]
                 sizes, starts = [len(x) // 4 for x in ids], []
                 for n in sizes:
                     starts.append(at)
                     at += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), keys[lo : lo + 2048], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), keys[lo : lo + 512], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     names=["part", "local_start", "doc_id", "doc_tokens", "ids"],
                 )
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(common.arrow_map, encode, "part int, local_start long, doc_id long, doc_tokens long, ids binary")
 

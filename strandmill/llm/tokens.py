@@ -84,6 +84,10 @@ class ChunkEncoder:
             self._learn(missing)
             return b"".join(map(self.memo.__getitem__, chunks))
 
+    def forget(self) -> None:
+        """Drop the known words: a Python worker lives on after a task, and would hold them through other operators' stages."""
+        self.memo, self.base = {}, {}
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case Latin-1 words."""
         known = list(map(self.base.get, words))

@@ -48,6 +48,18 @@ def test_columns_encode_as_whole_texts(monkeypatch):
     assert small.batch(column) == want and len(small.base) <= 40
 
 
+def test_workers_forget_words_after_packing(spark):
+    packing.pack(docs(spark), PATH).collect()
+
+    def held(batches):
+        from strandmill.llm import tokens
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.memo) + len(e.base) for e in tokens._encoders.values())] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(64).repartition(8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing(spark):
     full, rows = Tokenizer.from_file(PATH), docs(spark).collect()
     got = packing.pack(docs(spark).repartition(3), PATH, 64).collect()
