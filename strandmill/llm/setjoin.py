@@ -6,17 +6,21 @@ largest size. Each set is signed in the schemes of its own band and of the next
 of its larger set.
 
 Segments. A scheme hashes every shingle to one of its m segments. Two linked sets differ in fewer shingles than there are
-segments, so one segment subset is equal: subsets are indexed by their hash.
+segments, so one segment subset is equal: subsets are indexed by their hash. As m is that of a band's largest sets, smaller ones
+agree in more: a set and any linked to it that it meets in a scheme agree in g segments at least, by its size alone.
 
 Allocation. An empty subset would meet every other empty one, at unbounded cost: it is never indexed, and pairs that agree
-only in empty segments are paid for by one-deletion neighbourhoods. If h empty segments are all that agree, of the other
-m - h at least m - 2h + 1 differ in exactly one shingle; segments with at most one shingle (c of them) are no use. So a set
-with h empty segments indexes subsets and their one-deletions for its first 2h + c segments, the cheapest that suffice, and
-where 2h + c > m also its prefix: the |X| - ceil(J |X|) + 1 shingles of least hash, one of which a linked set must share.
-
-Cost. A signature's cost is the length of its list. Up to 16 sets give all their pairs. Longer lists are dear, and sets that hold
-such signatures are allocated to a second index, by measured frequency: of the shingles of all such sets, each set indexes
-the |X| - ceil(J |X|) + 1 rarest of its own, one of which a linked set must have among its rarest as well. Texts that
+only in empty segments are paid for by one-deletion neighbourhoods. A set with h < g empty segments is in no such pair. If e <= h
+empty segments are all that agree, of the other m - e at least m - 2e + g differ in exactly one shingle; segments with at most one
+shingle (c of them) are no use. So a set with h >= g indexes subsets and their one-deletions for its first 3h + c + 1 - g
+segments, the cheapest that suffice, and where that is over m also its prefix: the |X| - ceil(J |X|) + 1 shingles of least hash,
+one of which a linked set must share.
+
+Cost. A signature's cost is the length of its list. Up to 16 sets give all their pairs. Longer lists are dear. A linked pair that meets
+in none but dear lists agrees in g segments that are empty or dear, so either set of it has g - h dear signatures in that scheme (one at
+least); a set with fewer has met all that it links with. The others are allocated to a second index, by measured frequency: of the
+shingles of all such sets, each set indexes the |X| - ceil(J |X|) + 1 rarest of its own, one of which a linked set must have among its
+rarest as well. Texts that
 merely share a common passage or licence line have rare shingles of their own, and part here. What still meets in lists
 of over 16 sets are mostly near copies of one another: all are compared with one of them, the centre. Those of a list that are not
 joined to its largest component then are compared with the whole list, in blocks, by their sketches.
@@ -103,18 +107,29 @@ class Schemes:
     def prefix(self, n: int) -> int:
         return n - -(-n * self.num // self.den) + 1
 
+    def agreed(self, n: int, k: int) -> int:
+        """In how many segments of scheme k a set of size n agrees, at least, with any linked set that it meets there."""
+        other = min(self.top(k), n * self.den // self.num)
+        return self.segments(k) - (self.den - self.num) * (n + other) // (self.den + self.num)
+
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         """All signatures of a set, as uint64."""
+        return self.signed(shingles)[0]
+
+    def signed(self, shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """All signatures of a set, as uint64 (the highest bit says if their scheme is odd), and how many of its even and of its odd scheme's
+        must be dear before a linked set can be missed."""
         n = len(shingles)
         if not n:
-            return shingles
+            return shingles, [1, 1]
         k = self.band(n)
-        return np.concatenate([self._signed(shingles, j) for j in (k, k + 1)])
+        (own, least), (above, more) = (self._signed(shingles, j) for j in (k, k + 1))
+        return np.concatenate([own, above]), [more, least] if k % 2 else [least, more]
 
-    def _signed(self, shingles: np.ndarray, k: int) -> np.ndarray:
+    def _signed(self, shingles: np.ndarray, k: int) -> tuple[np.ndarray, int]:
         m = self.segments(k)
         if m == 1:  # no difference is allowed: linked sets are one class
-            return shingles[:0]
+            return shingles[:0], 1
         spread = mix64(shingles + np.uint64(int(GOLDEN) * (k + 1) % 2**64))
         segment = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -123,10 +138,10 @@ class Schemes:
         sums, held = np.add.reduceat(value, first), segment[first]
         tag = mix64(held.astype(np.uint64) + np.uint64(k << 32))
         out = [mix64(sums + tag)]
-        empty = m - len(held)
-        if empty:
+        empty, agreed = m - len(held), self.agreed(len(shingles), k)
+        if empty >= agreed:
             counts = np.diff(np.append(first, len(segment)))
-            need = 2 * empty + empty + int((counts == 1).sum())  # 2h + c
+            need = 3 * empty + int((counts == 1).sum()) + 1 - agreed
             near = int(np.searchsorted(held, min(need, m)))
             if near:
                 end = first[near] if near < len(first) else len(segment)
@@ -136,7 +151,7 @@ class Schemes:
                 out.append(mix64(np.concatenate([sums[:near] + tag[:near], less[keep] + tag[which][keep]]) ^ GOLDEN))
             if need > m:
                 out.append(mix64(shingles[: self.prefix(len(shingles))] + np.uint64(k << 32) + np.uint64(77)))
-        return np.concatenate(out)
+        return np.concatenate(out) >> np.uint64(1) | np.uint64(k % 2 << 63), max(1, agreed - empty)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -162,30 +177,36 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.transform(common.arrow_map, run, "doc_id long, n_shingles long, class long, sketch array<long>")
 
 
-def _pairs(sig: np.ndarray, cls: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of equal signatures: pairs of the classes of small runs, star edges of full ones (with their kind), and the rows
-    that stand for the runs elsewhere (all of a small run, 17 of a full one)."""
+def _lists(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (signature, class) in order, with the length of each one's list and its place there."""
     order = np.lexsort((cls, sig))
     sig, cls = sig[order], cls[order]
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
     sig, cls = sig[fresh], cls[fresh]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
-    out, place = [], np.arange(len(sig)) - np.repeat(start, size)
-    small = np.repeat(size <= full, size)
-    for gap in range(1, min(full, int(size.max(initial=1)))):
-        at = np.flatnonzero(small[gap:] & (place[gap:] >= gap))
-        out.append(np.stack([cls[at], cls[at + gap], np.zeros(len(at), np.int64)], axis=1))
-    at = np.flatnonzero(~small & (place > 0))
-    center = cls[np.repeat(start, size)]
-    out.append(np.stack([center[at], cls[at], np.ones(len(at), np.int64)], axis=1))
-    rows = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 3), np.int64)
-    keep = small | (place <= full)
-    return rows, sig[keep], cls[keep]
+    return sig, cls, np.repeat(size, size), np.arange(len(sig)) - np.repeat(start, size)
+
+
+def _pairs(cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """All pairs of classes in one list, of lists that `place` counts through."""
+    out = [np.zeros((0, 2), np.int64)]
+    for gap in range(1, int(place.max(initial=0)) + 1):
+        at = np.flatnonzero(place[gap:] >= gap)
+        out.append(np.stack([cls[at], cls[at + gap]], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _dear(sig: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """(class, even, odd): how many of these signatures a class holds in either kind of scheme."""
+    names, at = np.unique(cls, return_inverse=True)
+    odd = np.bincount(at[sig < 0], minlength=len(names))
+    return np.stack([names, np.bincount(at, minlength=len(names)) - odd, odd], axis=1).astype(np.int64)
 
 
 def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL, chunk: int = 750_000, shingles: int = 0) -> DataFrame:
-    """(a, b, full): pairs of classes that share a signature; full is 1 for star edges of signatures with over 16 classes.
+    """(a, b): pairs of classes that share a signature held by up to `full` classes; and with b null, the classes a with so many dear
+    signatures that linked ones may be missed.
 
     Tasks first meet signatures among their own rows, so that a signature held by many moves as 17 rows a chunk. `shingles`, the
     number of all sets' shingles, sets the number of tasks that signatures are dealt to, so that each holds about HELD of them. They
@@ -194,11 +215,14 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, schemes, seen = Shingler(width), Schemes(num, den), set()
-        sigs, ids, held = [], [], 0
+        sigs, ids, needs, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows, sig, cls = _pairs(np.concatenate(sigs).view(np.int64), np.concatenate(ids), full)
-            yield from _blocks(sig, cls, rows[rows[:, 2] == 1], parts)
+            sig, cls, _, place = _lists(np.concatenate(sigs).view(np.int64), np.concatenate(ids))
+            more = place > full
+            counts, least = _dear(sig[more], cls[more]), np.array(needs, np.int64)
+            rows = np.concatenate([np.pad(counts, ((0, 0), (0, 2))), np.insert(least, [1, 1], 0, axis=1)])
+            yield from _blocks(sig[~more], cls[~more], rows, parts)
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -209,13 +233,14 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                got = schemes.signatures(s)
+                got, need = schemes.signed(s)
                 sigs.append(got)
                 ids.append(np.full(len(got), c, np.int64))
+                needs.append((c, *need))
                 held += len(got)
                 if held >= chunk:
                     yield from flush()
-                    sigs, ids, held = [], [], 0
+                    sigs, ids, needs, held = [], [], [], 0
         if held:
             yield from flush()
 
@@ -228,22 +253,34 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, full: int = FULL
                     sigs.append(sig)
                     ids.append(np.repeat(cls, counts))
                 else:
-                    yield _edges(np.stack([sig, cls, np.ones(len(sig), np.int64)], axis=1))
+                    yield named(sig.reshape(-1, 5), 1)
         if sigs:
-            rows = _pairs(np.concatenate(sigs), np.concatenate(ids), full)[0]
-            for lo in range(0, len(rows), 100_000):
-                yield _edges(rows[lo : lo + 100_000])
+            sig, cls, size, place = _lists(np.concatenate(sigs), np.concatenate(ids))
+            small = size <= full
+            for rows, keys in ((_pairs(cls[small], place[small]), 2), (_dear(sig[~small], cls[~small]), 1)):
+                for lo in range(0, len(rows), 100_000):
+                    yield named(rows[lo : lo + 100_000], keys)
+
+    def named(rows: np.ndarray, keys: int) -> pa.RecordBatch:
+        """Rows of one or two classes and up to four counts."""
+        none = pa.nulls(len(rows), pa.int64())
+        columns = [pa.array(c) for c in np.ascontiguousarray(rows.T)]
+        columns = columns[:keys] + [none] * (2 - keys) + columns[keys:]
+        return pa.RecordBatch.from_arrays(columns + [none] * (6 - len(columns)), names=["a", "b", "even", "odd", "least_even", "least_odd"])
 
     expected = 4 * shingles * den * (den - num) // (num * (den + num))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(min(tasks, expected // (HELD // 16) + 1), expected // HELD)
     rows = docs.transform(common.arrow_map, sign, "part int, sig binary, class binary, counts binary").repartitionById(parts, "part")
-    return rows.transform(common.arrow_map, meet, "a long, b long, full int").groupBy("a", "b").agg(F.min("full").alias("full"), F.max("full").alias("group"))
+    met = rows.transform(common.arrow_map, meet, "a long, b long, even long, odd long, least_even long, least_odd long").groupBy("a", "b")
+    met = met.agg(*(F.sum(c).alias(c) for c in ("even", "odd")), *(F.max(c).alias(c) for c in ("least_even", "least_odd")))
+    return met.where("b is not null or even >= least_even or odd >= least_odd").select("a", "b")
 
 
-def _blocks(sig: np.ndarray, cls: np.ndarray, stars: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _blocks(sig: np.ndarray, cls: np.ndarray, others: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Signatures as one row (part, sig, class, counts) for each of the `parts` tasks that they are dealt to: a class is written once,
-    with the number of its signatures there, so a signature takes little more than its 8 bytes. Star edges have no counts."""
+    with the number of its signatures there, so a signature takes little more than its 8 bytes. `others`, rows of five numbers, go to any
+    task, in the place of signatures and without counts."""
     part = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((cls, part))
     sig, cls, part = sig[order], cls[order], part[order]
@@ -251,7 +288,7 @@ def _blocks(sig: np.ndarray, cls: np.ndarray, stars: np.ndarray, parts: int) ->
     counts, name, at = np.diff(np.append(run, len(sig))).astype(np.uint32), cls[run], part[run]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(run) else run
     rows = [(int(at[i]), sig[run[i] : run[j] if j < len(run) else len(sig)], name[i:j], counts[i:j]) for i, j in zip(first, np.append(first[1:], len(run)), strict=True)]
-    rows += [(k % parts, stars[lo : lo + 50_000, 0], stars[lo : lo + 50_000, 1], counts[:0]) for k, lo in enumerate(range(0, len(stars), 50_000))]
+    rows += [(int(others[lo, 0] % parts), others[lo : lo + 20_000], name[:0], counts[:0]) for lo in range(0, len(others), 20_000)]
     while rows:
         size, n = 0, 0
         while n < len(rows) and size < common.BATCH_BYTES:
@@ -261,10 +298,6 @@ def _blocks(sig: np.ndarray, cls: np.ndarray, stars: np.ndarray, parts: int) ->
         yield pa.RecordBatch.from_arrays(columns, names=["part", "sig", "class", "counts"])
 
 
-def _edges(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int64()), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2].astype(np.int32), pa.int32())], names=["a", "b", "full"])
-
-
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (doc_id, class, ...) with the text of each; few ids are broadcast, more are shuffled."""
     return docs.join(common.small(wanted), "doc_id")
@@ -447,10 +480,10 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     reps = common.staged(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "set-reps", "snappy")
     shingles = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = common.staged(candidates(docs, width, num, den, shingles=shingles), "set-candidates")
-    stars, pairs, spent = found.where("group = 1"), found.where("full = 0").select("a", "b"), [found]
-    dear = stars.limit(1).count()
+    missed, pairs, spent = found.where("b is null").select(F.col("a").alias("class")), found.where("b is not null"), [found]
+    dear = missed.limit(1).count()
     if dear:
-        sets = common.staged(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select("class", "doc_id"), "set-dear")
+        sets = common.staged(missed.join(reps, "class").select("class", "doc_id"), "set-dear")
         prefixes = rare_prefixes(docs, sets, width, num, den)
         more, long = run_pairs(prefixes)
         pairs = pairs.unionByName(more).distinct()

@@ -87,6 +87,46 @@ def test_common_passage_makes_no_pairs(spark):
     assert setjoin.rare_prefixes(docs, sets, 4, 85, 100).count() == 0
 
 
+def test_few_dear_signatures_need_no_second_index(spark, monkeypatch):
+    """Sets of which only a few signatures are common meet all their links in short lists, and are not indexed again."""
+    rng, seen = random.Random(4), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(6)]
+    rows = [(i, " ".join(passage + [word() for _ in range(70)])) for i in range(1500)]
+    rows += [(5000 + i, t + " more") for i, t in rows[:5]]
+    plain = setjoin.rare_prefixes
+    monkeypatch.setattr(setjoin, "rare_prefixes", lambda docs, sets, *a: (seen.append(sets.count()), plain(docs, sets, *a))[1])
+    got = setjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()
+    assert sum(seen) <= 15
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 5000 for i, _ in rows}
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (50, 100)])
+def test_links_meet_in_short_lists_or_both_sets_are_dear(num, den):
+    """Whatever signatures are dear: a linked pair shares another one, or either set holds as many dear ones as it says."""
+    rng, schemes, open_ = np.random.default_rng(5), setjoin.Schemes(num, den), 0
+    for _ in range(4000):
+        n = int(rng.choice([7, 9, 13, 14, 19, 20, 27, 40, 60, 69, 86, 200]))
+        pool = np.unique(rng.integers(0, 2**63, 3 * n + 10, dtype=np.uint64))
+        rng.shuffle(pool)
+        most = int(n * (den - num) / num) + 1
+        cut, more = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[cut:n], pool[n : n + more]]))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or den * common < num * (len(a) + len(b) - common) or not cut + more:
+            continue
+        (x, least_x), (y, least_y) = schemes.signed(a), schemes.signed(b)
+        both = np.intersect1d(x, y)
+        dear = both[rng.random(len(both)) < rng.choice([0.5, 0.9, 1])]
+        if len(dear) < len(both):
+            continue
+        open_ += 1
+        odd = int((dear >= np.uint64(2**63)).sum())
+        counts = (len(dear) - odd, odd)
+        assert any(counts[k] >= least_x[k] and counts[k] >= least_y[k] for k in (0, 1))
+    assert open_ > 200
+
+
 def test_far_apart_counts_the_highest_bit():
     """Words whose highest bits differ give negative numbers: their bits are those of the words, and never more than the shingles."""
     rng = np.random.default_rng(3)
